@@ -124,12 +124,12 @@ def tree_paths(x: np.ndarray, residual: np.ndarray, depth: int, bins: list[np.nd
 def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated proximal gradient descent."""
     n, d = z.shape
-    step = 4.0 / max(np.linalg.norm(z, 2) ** 2 / n + 1, 1e-9)
+    step = 4.0 / max(float(np.linalg.eigvalsh(z.T @ z)[-1]) / n + 1, 1e-9)
     weight, base = np.zeros(d), 0.0
     ahead, ahead_base, t = weight, base, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ ahead + ahead_base, -30, 30)))
-        moved = ahead - step * (z.T @ (p - y)) / n
+        p = 1 / (1 + np.exp(-np.clip(z @ ahead.astype(z.dtype) + ahead_base, -30, 30).astype(float)))
+        moved = ahead - step * ((p - y).astype(z.dtype) @ z).astype(float) / n
         new = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
         new_base = ahead_base - step * float((p - y).mean())
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -186,12 +186,21 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3,
         seen.update(dict.fromkeys(paths))
         for path, value in leaves:
             total[_holds(path, x)] += rate * value
-    z = np.stack([_holds(r, x) for r in seen], axis=1).astype(float)
-    share = z.mean(axis=0)
+    # rules that hold for the same rows count once; single precision keeps this the largest array, 4 bytes a row and rule
+    distinct: dict[bytes, Rule] = {}
+    for rule in seen:
+        hit = _holds(rule, x)
+        if 0 < hit.sum() < n:
+            distinct.setdefault(np.packbits(hit).tobytes(), rule)
+    rules = list(distinct.values())
+    z = np.empty((n, len(rules)), np.float32)
+    for k, rule in enumerate(rules):
+        z[:, k] = _holds(rule, x)
+    share = z.mean(axis=0, dtype=float)
     spread = np.sqrt(share * (1 - share))
-    used = spread > 1e-6
-    rules, z, share, spread = [r for r, u in zip(seen, used, strict=True) if u], z[:, used], share[used], spread[used]
-    weight, intercept = lasso_logistic((z - share) / spread, y, penalty)
+    z -= share.astype(np.float32)
+    z /= spread.astype(np.float32)
+    weight, intercept = lasso_logistic(z, y, penalty)
     weight = weight / spread
     intercept -= float(weight @ share)
     kept = tuple((r, float(w)) for r, w in zip(rules, weight, strict=True) if w)
