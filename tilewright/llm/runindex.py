@@ -6,18 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .arrow import flat, slices
+from .runtime import cut
 from .shingles import BASE, mix
 
 #: A random number for each byte; unlike in shingles, letter case counts.
 BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bits of the two filters of anchors: this fixes the size of all that is collected and broadcast (16 MB each).
+#: Bits of each filter of anchors and keys: this fixes the size of all that is collected and broadcast (16 MB each).
 SLOT_BITS = 27
-#: An anchor with more occurrences has its windows dealt out in groups of SPLIT.
-HOT, SPLIT = 500, 4
+#: An anchor with more than this share of all occurrences, and more than HOT, has its strings dealt out in groups of SPLIT.
+HOT_SHARE, HOT, SPLIT = 1 / 5000, 500, 4
 STRETCH = 2 << 20
 #: Bytes of distinct contexts that one index holds.
 INDEX_BYTES = 1 << 20
@@ -56,15 +58,16 @@ class Hashes:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
-def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, Hashes]:
+def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, Hashes, np.ndarray]:
     """Positions and hashes of the ``gram``-byte strings that are least in some ``length``-byte string of a text.
 
-    Equal strings of ``length`` bytes hold equal anchors at equal places, and each holds one.
+    The last array has the least hash of each ``length``-byte string, 0 where none may start.
+    Equal strings of ``length`` bytes have equal leasts at equal places.
     """
     hashes = Hashes(raw)
     n, w = len(raw), length - gram + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), hashes
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), hashes, np.zeros(0, np.uint64)
     h = (hashes.sums[gram:] - hashes.sums[:-gram]) * hashes.down[: n - gram + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -75,7 +78,27 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np
     # a gram is an anchor if it equals the least of some window over it
     padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
     where = np.flatnonzero((_sliding(padded, w, np.maximum, 0) == h) & (h != 0))
-    return where, h[where], hashes
+    return where, h[where], hashes, least
+
+
+def led_strings(where: np.ndarray, h: np.ndarray, least: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings whose leftmost least is each anchor (none if first > last)."""
+    if not len(where):
+        return where, where
+    values, number = np.unique(h, return_inverse=True)
+    by = np.lexsort((where, number))
+    before = np.full(len(where), -1)
+    same = number[by][1:] == number[by][:-1]
+    before[by[1:][same]] = where[by[:-1][same]]
+    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    end = np.append(start[1:], len(least)) - 1
+    kind = np.searchsorted(values, least[start])
+    known = (kind < len(values)) & (values[np.minimum(kind, len(values) - 1)] == least[start])
+    start, end, kind = start[known], end[known], kind[known]
+    order = np.lexsort((start, kind))
+    start, end, kind = start[order], end[order], kind[order]
+    run = np.searchsorted((kind << 40) + start, (number << 40) + where, side="right") - 1
+    return np.maximum(np.maximum(start[run], where - reach), before + 1), np.minimum(end[run], where)
 
 
 def _stretches(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -202,11 +225,34 @@ def _gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw[index].tobytes())])
 
 
-_CONTEXT = "key bigint, id bigint, tag bigint, `at` bigint, `to` bigint, ctx binary"
+_PLACE = "key bigint, whole bigint, id bigint, tag bigint, `at` bigint, `to` bigint"
+_CONTEXT = "key bigint, id bigint, tag bigint, `at` bigint, ctx binary"
 
 
-def _contexts(length: int, gram: int, slice_bytes: int, crowded, hot):
-    """Contexts of anchors that occur twice or more; within a slice, equal contexts are settled at once."""
+def _joined_spans(tags: np.ndarray, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Rows without a context: spans that are settled, overlapping ones of a text as one."""
+    by = np.lexsort((start, tags))
+    tags, ids, start, end = tags[by], ids[by], start[by], end[by]
+    if len(by):
+        piece = np.cumsum(np.concatenate([[0], tags[1:] != tags[:-1]])).astype(np.int64) << 40
+        reached = np.maximum.accumulate(piece + end)
+        new = np.concatenate([[True], piece[1:] + start[1:] > reached[:-1]])
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(by)) - 1
+        tags, ids, start, end = tags[head], ids[head], start[head], (reached - piece)[last]
+    return _places(mix((tags + start).astype(np.uint64)), None, ids, tags, start, end)
+
+
+def _places(key, whole, ids, tags, start, end) -> pa.RecordBatch:
+    hashed = pa.nulls(len(key), pa.int64()) if whole is None else pa.array(whole.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), hashed, *(pa.array(c) for c in (ids, tags, start, end))], names=["key", "whole", "id", "tag", "at", "to"])
+
+
+def _contexts(length: int, gram: int, slice_bytes: int, crowded, hot, mixed=None):
+    """Contexts of anchors that occur twice or more; within a slice, equal contexts are settled at once.
+
+    Without ``mixed``, places and hashes; with it, the bytes of contexts whose key it has.
+    """
 
     def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
         slot = h >> np.uint64(64 - SLOT_BITS)
@@ -214,60 +260,90 @@ def _contexts(length: int, gram: int, slice_bytes: int, crowded, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many, very = np.frombuffer(crowded.value, np.uint64), np.frombuffer(hot.value, np.uint64)
+        shown = None if mixed is None else np.frombuffer(mixed.value, np.uint64)
         reach = length - gram
         for batch in slices(batches, "__text", slice_bytes):
             raw_all, at_all = flat(batch.column(2))
             ids = batch.column(0).fill_null(np.iinfo(np.int64).max).to_numpy()
             tags = batch.column(1).to_numpy()
             for base, raw, at in _stretches(raw_all, at_all, length):
-                where, h, hashes = anchors(raw, at, length, gram)
+                where, h, hashes, least = anchors(raw, at, length, gram)
                 keep = passes(many, h)
                 where, h = where[keep], h[keep]
+                floor, ceiling = led_strings(where, h, least, reach)
                 doc = np.searchsorted(at, where, side="right") - 1
                 is_hot = passes(very, h)
-                # window starts of each row: all that hold the anchor, or a group of SPLIT of them for hot anchors
-                rows = [(where[~is_hot], doc[~is_hot], h[~is_hot], where[~is_hot] - reach, where[~is_hot])]
-                w, d, x = where[is_hot], doc[is_hot], h[is_hot]
+                # string starts of each row: all that the anchor leads, or a group of SPLIT of them for hot anchors
+                c = ~is_hot
+                rows = [(where[c], doc[c], h[c], where[c] - reach, where[c], floor[c], ceiling[c])]
+                w, d, x, f, u = where[is_hot], doc[is_hot], h[is_hot], floor[is_hot], ceiling[is_hot]
                 for g in range(0, reach + 1, SPLIT):
-                    rows.append((w, d, x, w - reach + g, np.minimum(w - reach + g + SPLIT - 1, w)))
-                w, d, x, lo, hi = (np.concatenate(c) for c in zip(*rows, strict=True))
+                    rows.append((w, d, x, w - reach + g, np.minimum(w - reach + g + SPLIT - 1, w), f, u))
+                w, d, x, lo, hi, f, u = (np.concatenate(c) for c in zip(*rows, strict=True))
                 # hot rows are keyed by the bytes that all of their strings share, all others by their anchor;
                 # where a text's end cuts the strings short, those bytes still lie within it
-                inside = (np.maximum(lo, at[d]) <= np.minimum(hi, at[d + 1] - length))
-                w, d, x, lo, hi = w[inside], d[inside], x[inside], lo[inside], hi[inside]
+                inside = np.maximum(lo, f) <= np.minimum(hi, u)
+                w, d, x, lo, hi, f, u = (c[inside] for c in (w, d, x, lo, hi, f, u))
                 if not len(w):
                     continue
                 key = np.where(passes(very, x), mix(hashes.of(np.minimum(hi, len(raw)), np.minimum(lo + length, len(raw))) + (w - hi).astype(np.uint64)), x)
-                lo, hi = np.maximum(lo, at[d]), np.minimum(hi, at[d + 1] - length)
+                lo, hi = np.maximum(lo, f), np.minimum(hi, u)
                 end = hi + length
                 whole = mix(hashes.of(lo, end) + (end - lo).astype(np.uint64)) ^ mix(key + (w - lo).astype(np.uint64))
                 by = np.lexsort((lo - at[d], tags[d], ids[d], whole))
                 w, d, lo, end, key, whole = w[by], d[by], lo[by], end[by], key[by], whole[by]
                 first = np.concatenate([[True], whole[1:] != whole[:-1]])
-                start = base + lo - at[d]
-                sure, to = ~first, base + end - at[d]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(mix(whole[sure]).astype(np.int64)), pa.array(ids[d[sure]]), pa.array(tags[d[sure]]),
-                        pa.array(start[sure]), pa.array(to[sure]), pa.nulls(int(sure.sum()), pa.binary()),
-                    ],
-                    names=["key", "id", "tag", "at", "to", "ctx"],
-                )
-                for i in range(0, int(first.sum()), 20000):
-                    f = np.flatnonzero(first)[i : i + 20000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[f].astype(np.int64)), pa.array(ids[d[f]]), pa.array(tags[d[f]]), pa.array(start[f]), pa.array(to[f]), _gather(raw, lo[f], end[f])],
-                        names=["key", "id", "tag", "at", "to", "ctx"],
-                    )
+                start, to = base + lo - at[d], base + end - at[d]
+                f = np.flatnonzero(first)
+                if shown is None:
+                    yield _joined_spans(tags[d[~first]], ids[d[~first]], start[~first], to[~first])
+                    yield _places(key[f], whole[f], ids[d[f]], tags[d[f]], start[f], to[f])
+                    continue
+                f = f[passes(shown, key[f])]
+                for i in range(0, len(f), 20000):
+                    g = f[i : i + 20000]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[g].astype(np.int64)), pa.array(ids[d[g]]), pa.array(tags[d[g]]), pa.array(start[g]), _gather(raw, lo[g], end[g])], names=["key", "id", "tag", "at", "ctx"])
 
     return run
 
 
-def _mark(length: int):
-    """Spans to remove, from contexts sorted by key, context and place."""
+def _settle():
+    """From places sorted by key, hash and order: spans of all but the first of equal contexts, and the keys of several."""
 
-    def spans(tags: list, starts: list, ends: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["tag", "s", "e"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key, hash, tag and place of the row before; whether its key has been reported
+        for batch in batches:
+            settled = batch.column(1).is_null()
+            done = batch.filter(settled)
+            batch = batch.filter(pc.invert(settled))
+            key, whole, _, tag, at, to = (c.to_numpy() for c in batch.columns)
+            n = len(key)
+            if n:
+                prior = last or (key[0] - 1, 0, 0, 0, False)
+                before = lambda c, v: np.concatenate([[v], c[:-1]])
+                same_key = key == before(key, prior[0])
+                same = same_key & (whole == before(whole, prior[1]))
+                same_place = same & (tag == before(tag, prior[2])) & (at == before(at, prior[3]))
+                again = np.flatnonzero(same & ~same_place)
+                other = same_key & ~same
+                keys = np.unique(key[other])
+                if prior[4] and len(keys):
+                    keys = keys[keys != prior[0]]
+                reported = bool(other[key == key[-1]].any()) or (prior[4] and key[-1] == prior[0])
+                last = (key[-1], whole[-1], tag[-1], at[-1], reported)
+            else:
+                again, keys = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            tags = pa.concat_arrays([done.column(3), pa.array(tag[again] if n else [], pa.int64()), pa.nulls(len(keys), pa.int64())])
+            starts = pa.concat_arrays([done.column(4), pa.array(at[again] if n else [], pa.int64()), pa.nulls(len(keys), pa.int64())])
+            ends = pa.concat_arrays([done.column(5), pa.array(to[again] if n else [], pa.int64()), pa.nulls(len(keys), pa.int64())])
+            marks = pa.concat_arrays([pa.nulls(len(tags) - len(keys), pa.int64()), pa.array(keys, pa.int64())])
+            yield pa.RecordBatch.from_arrays([tags, starts, ends, marks], names=["tag", "s", "e", "key"])
+
+    return run
+
+
+def _mark(length: int):
+    """Spans to remove, from contexts sorted by key, bytes and order, equal ones having been settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # distinct contexts of whole groups, to be indexed together
@@ -282,39 +358,24 @@ def _mark(length: int):
                 at = np.array([r[2] for r in held], np.int64)
                 found = list(repeated([r[3] for r in held], order, at, length))
                 if found:
-                    yield spans([held[p][1] for p, _, _ in found], [int(at[p]) + a for p, a, _ in found], [int(at[p]) + b for p, _, b in found])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([held[p][1] for p, _, _ in found], pa.int64()), pa.array([int(at[p]) + a for p, a, _ in found], pa.int64()), pa.array([int(at[p]) + b for p, _, b in found], pa.int64())],
+                        names=["tag", "s", "e"],
+                    )
             held, size = [], 0
 
         for batch in batches:
-            keys, ids, tags, at, to = (batch.column(i).to_numpy() for i in range(5))
-            ctx = batch.column(5)
-            texts = ctx.to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
-            for i in range(batch.num_rows):
-                c = texts[i]
-                if c is None:
-                    pass
-                elif keys[i] != last_key:
+            for key, i, tag, at, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last_key:
                     if len(group) > 1:
                         held += group
                         size += sum(len(g[3]) for g in group)
-                    if size > INDEX_BYTES:
-                        yield from index()
-                    last_key, last_ctx = keys[i], c
-                    group = [(int(ids[i]), int(tags[i]), int(at[i]), c)]
-                    continue
-                elif group and (int(tags[i]), int(at[i])) == group[-1][1:3] and c == last_ctx:
-                    continue  # the same place again, by another anchor of one kind
-                elif c != last_ctx:
-                    last_ctx = c
-                    group.append((int(ids[i]), int(tags[i]), int(at[i]), c))
-                    continue
-                # a context that occurs earlier as a whole
-                out[0].append(int(tags[i]))
-                out[1].append(int(at[i]))
-                out[2].append(int(to[i]))
-            if out[0]:
-                yield spans(*out)
+                        if size > INDEX_BYTES:
+                            yield from index()
+                    last_key, group = key, [(i, tag, at, ctx)]
+                elif ctx != last_ctx:
+                    group.append((i, tag, at, ctx))
+                last_ctx = ctx
         if len(group) > 1:
             held += group
         yield from index()
@@ -350,7 +411,20 @@ def _cut_out():
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100, gram: int = 40, slice_bytes: int = STRETCH, hot_count: int = HOT) -> DataFrame:
+def _bitmaps(rows: DataFrame, key: str, kinds: dict[str, Column]) -> list[bytes]:
+    """Bitmaps of the slots of ``key``, one for each kind of row; their size is fixed by SLOT_BITS."""
+    slot = F.shiftrightunsigned(key, 64 - SLOT_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    words = rows.groupBy(F.shiftrightunsigned(slot, 6).alias("w")).agg(*[F.bit_or(F.when(test, bit).otherwise(F.lit(0).cast("long"))).alias(kind) for kind, test in kinds.items()]).toArrow()
+    out = []
+    for kind in kinds:
+        bits = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+        bits[words.column("w").to_numpy()] = words.column(kind).to_numpy()
+        out.append(bits.tobytes())
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100, gram: int = 40, slice_bytes: int = STRETCH, hot_share: float = HOT_SHARE, hot_count: int = HOT) -> DataFrame:
     """One row per row: ``id_col``, n_bytes, spans (start, end of each maximal removed run), kept (binary).
 
     A byte goes if a string of ``length`` bytes covers it that also starts earlier: in a row with
@@ -361,35 +435,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Anchors: the least of the ``gram``-byte strings in each ``length``-byte string.  Equal
        long strings hold equal anchors, so anchors that occur once are left out of all that
        follows.  Their counts are pre-aggregated by slice and by task.
-    2. Each anchor that occurs twice brings its context, the bytes of all long strings over it,
-       to the task of its key.  Contexts that are equal within a slice settle there and then,
-       so a copied text sends one context a slice, not one a copy.  The strings over an anchor
-       with more than ``hot_count`` occurrences are dealt out in groups of SPLIT, keyed by the bytes they
-       share, so no key gathers the rows of a passage that a third of the documents hold.
-    3. Distinct contexts that share a key are indexed, some megabytes at a time, by a
-       run-compressed Burrows-Wheeler transform with sampled run ends.  All contexts stream
-       through it right to left in step; places whose rows lie within one border of common
-       prefixes of ``length`` bytes match, and all but the earliest are marked.
+    2. Each anchor that occurs twice brings its context, the bytes of the long strings that it is
+       the least in, to the task of its key: first as a hash and a place.  Of equal contexts all
+       but the earliest are marked whole, within a slice there and then, so a copied text sends
+       one context a slice, not one a copy.  The strings of an anchor with more than ``hot_count``
+       occurrences and ``hot_share`` of them all are dealt out in groups of SPLIT, keyed by the
+       bytes they share, so no key gathers a passage that a third of the documents hold.
+    3. Keys that have several distinct contexts send their bytes.  Distinct contexts are indexed,
+       some megabytes at a time, by a run-compressed Burrows-Wheeler transform with sampled run
+       ends.  All contexts stream through it right to left in step; places whose rows lie within
+       one border of common prefixes of ``length`` bytes match, and all but the earliest are marked.
     4. Marks are merged by document and cut out.
 
-    Two bitmaps of 2^SLOT_BITS anchor slots are all that is collected and broadcast; a slot
-    shared by chance lets an anchor pass in vain, never drops one.  Equality within a slice is
-    judged by 64-bit hashes of two kinds, elsewhere by bytes.  Rows are told apart by their
+    Three bitmaps of 2^SLOT_BITS slots are all that is collected and broadcast; a slot shared by
+    chance lets an anchor pass in vain, never drops one.  Equality of whole contexts is judged by
+    64-bit hashes of two kinds, that of the strings within them by bytes.  Rows are told apart by their
     place in the scan, so ``docs`` should read a written table.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("tag"), F.col(text_col).alias("__text"))
-    counts = base.select("__text").mapInArrow(_count_anchors(length, gram, slice_bytes), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    slot = F.shiftrightunsigned("h", 64 - SLOT_BITS)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    words = counts.groupBy(F.shiftrightunsigned(slot, 6).alias("w")).agg(F.bit_or(bit).alias("many"), F.bit_or(F.when(F.col("n") > hot_count, bit).otherwise(F.lit(0).cast("long"))).alias("hot")).toArrow()
-    maps = np.zeros((2, 1 << (SLOT_BITS - 6)), np.int64)
-    place = words.column("w").to_numpy()
-    maps[0][place], maps[1][place] = words.column("many").to_numpy(), words.column("hot").to_numpy()
-    crowded, hot = (spark.sparkContext.broadcast(m.tobytes()) for m in maps)
-    contexts = base.select(F.col("__id").cast("long").alias("id"), "tag", "__text").mapInArrow(_contexts(length, gram, slice_bytes, crowded, hot), _CONTEXT)
-    dealt = contexts.repartition("key").sortWithinPartitions("key", "ctx", "id", "tag", "at")
-    marks = dealt.mapInArrow(_mark(length), "tag bigint, s bigint, e bigint")
+    seen = Observation()
+    counted = base.select("__text").mapInArrow(_count_anchors(length, gram, slice_bytes), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = cut(counted.observe(seen, F.sum("n").alias("all")).where("n > 1"), "repeat-anchors")
+    very = F.col("n") > max(hot_count, hot_share * (seen.get["all"] or 0))
+    crowded, hot = (spark.sparkContext.broadcast(m) for m in _bitmaps(counts, "h", {"many": F.lit(True), "hot": very}))
+    picked = base.select(F.col("__id").cast("long").alias("id"), "tag", "__text")
+    places = picked.mapInArrow(_contexts(length, gram, slice_bytes, crowded, hot), _PLACE)
+    dealt = places.repartition("key").sortWithinPartitions("key", "whole", "id", "tag", "at")
+    settled = cut(dealt.mapInArrow(_settle(), "tag bigint, s bigint, e bigint, key bigint"), "repeat-settled")
+    mixed = spark.sparkContext.broadcast(_bitmaps(settled.where("key is not null"), "key", {"mixed": F.lit(True)})[0])
+    contexts = picked.mapInArrow(_contexts(length, gram, slice_bytes, crowded, hot, mixed), _CONTEXT)
+    grouped = contexts.repartition("key").sortWithinPartitions("key", "ctx", "id", "tag", "at")
+    marks = grouped.mapInArrow(_mark(length), "tag bigint, s bigint, e bigint").union(settled.where("key is null").select("tag", "s", "e"))
     spans = marks.groupBy("tag").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     joined = base.join(spans, "tag", "left").select("__id", "__text", "found")
     kind = joined.schema[0].dataType.simpleString()
