@@ -55,7 +55,9 @@ def index_image(rgba: np.ndarray, palette: np.ndarray, reduction: Reduction, amo
         return np.where(clear, 0, found)
     y2 = reduction.squares[0]
     near = blurred(points)
-    centre = np.array([[differences(points[r, c][None], near[r, c][None], reduction)[0, 0] for c in range(w)] for r in range(h)])
+    gap = points - near
+    centre = (gap[..., :3] ** 2) @ np.array(reduction.squares) + reduction.alpha_square * gap[..., 3] ** 2 - gap[..., 3] * (gap[..., :3] @ np.array(reduction.interaction))
+    own_distance = differences(points.reshape(-1, 4), colors, reduction).reshape(h, w, -1)
     error = np.zeros((h + 1, w + 2, 4))
     out = np.zeros((h, w), np.int64)
     keep_alpha = reduction.alpha_mode == ALPHA_PALETTE
@@ -65,7 +67,7 @@ def index_image(rgba: np.ndarray, palette: np.ndarray, reduction: Reduction, amo
             if clear[r, c]:
                 continue
             own = points[r, c]
-            plain = differences(own[None], colors, reduction)[0]
+            plain = own_distance[r, c]
             if centre[r, c] < 110 * y2 and plain.min() > 2 * y2:
                 wanted = own + _curve(error[r, c + 1]) * amount
                 wanted[0] = min(max(wanted[0], 0.0), 511.0)

@@ -32,12 +32,12 @@ def event_pixels(spark: SparkSession, folder: str, side: int = 64) -> DataFrame:
 
 
 def part_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """Coarse images of few colours, 32 pixels wide, by part number: tiles of them repeat and mirror."""
+    """Coarse images of few colours, 16 pixels wide, by part number: tiles of them repeat and mirror."""
     p = table(spark, folder, "part")
-    at = F.pmod(F.col("p_partkey") - 1, F.lit(1024))
-    y, x = F.floor(at / 32).cast("int"), F.pmod(at, F.lit(32)).cast("int")
+    at = F.pmod("p_partkey", F.lit(1024))
+    y, x = F.floor(at / 16).cast("int"), F.pmod(at, F.lit(16)).cast("int")
     shade = F.pmod(F.floor(x / 4) + F.floor(y / 4) * 2, F.lit(3)) * 100
-    return p.select(F.floor((F.col("p_partkey") - 1) / 1024).cast("long").alias("image_id"), F.lit(0).alias("layer"), y.alias("y"), x.alias("x"), color.pack(shade.cast("int"), F.lit(40), F.lit(200), 255).alias("rgba"))
+    return p.select(F.floor(F.col("p_partkey") / 1024).cast("long").alias("image_id"), F.lit(0).alias("layer"), y.alias("y"), x.alias("x"), color.pack(shade.cast("int"), F.lit(40), F.lit(200), 255).alias("rgba"))
 
 
 def document_blobs(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,7 +67,9 @@ def pixels_of(images: DataFrame, layer: int = 0) -> DataFrame:
     words = F.regexp_extract_all(F.hex("px"), F.lit("[0-9A-F]{8}"), F.lit(0))
     long = images.select("image_id", "width", F.posexplode(words).alias("i", "h"))
     swapped = F.concat(*[F.substring("h", k, 2) for k in (7, 5, 3, 1)])
-    return long.select("image_id", F.lit(layer).alias("layer"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.pmod("i", "width").cast("int").alias("x"), F.conv(swapped, 16, 10).cast("long").cast("int").alias("rgba"))
+    value = F.conv(swapped, 16, 10).cast("long")
+    signed = F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value).cast("int")
+    return long.select("image_id", F.lit(layer).alias("layer"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.pmod("i", "width").cast("int").alias("x"), signed.alias("rgba"))
 
 
 def images_of(pixels: DataFrame) -> DataFrame:

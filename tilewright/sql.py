@@ -59,4 +59,4 @@ def milli(x: str) -> str:
 
 LINEITEM = "SELECT l_orderkey % 4 AS image_id, 0 AS layer, (l_orderkey // 4)::INTEGER AS y, l_linenumber::INTEGER AS x, " + pack_sql("l_orderkey % 256", "l_partkey % 256", "l_suppkey % 256", "CASE l_linenumber % 8 WHEN 7 THEN 0 WHEN 6 THEN 100 ELSE 255 END") + " AS rgba FROM lineitem"
 EVENTS = "SELECT event_id // 4096 AS image_id, 0 AS layer, (event_id % 4096 // 64)::INTEGER AS y, (event_id % 64)::INTEGER AS x, " + pack_sql("(event_id % 64 * 4 + user_id % 8) % 256", "(event_id % 4096 // 64 * 4) % 256", "(user_id // 16 * 16) % 256", "CASE WHEN event_id % 97 = 0 THEN 0 ELSE 255 END") + " AS rgba FROM events"
-PARTS = "SELECT (p_partkey - 1) // 1024 AS image_id, 0 AS layer, ((p_partkey - 1) % 1024 // 32)::INTEGER AS y, ((p_partkey - 1) % 32)::INTEGER AS x, " + pack_sql("((p_partkey - 1) % 32 // 4 + (p_partkey - 1) % 1024 // 32 // 4 * 2) % 3 * 100", "40", "200", "255") + " AS rgba FROM part"
+PARTS = "SELECT p_partkey // 1024 AS image_id, 0 AS layer, (p_partkey % 1024 // 16)::INTEGER AS y, (p_partkey % 16)::INTEGER AS x, " + pack_sql("(p_partkey % 16 // 4 + p_partkey % 1024 // 16 // 4 * 2) % 3 * 100", "40", "200", "255") + " AS rgba FROM part"
