@@ -43,27 +43,33 @@ def approximate(vectors: np.ndarray, bits: int = CELL_BITS) -> tuple[np.ndarray,
 
 
 class TopK:
-    """The best k (score, id) of each query of a block so far."""
+    """The best k (score, id) of each query of a block so far; scores are exact whole numbers."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         self.ids, self.q, self.k = ids, vectors, k
-        self.best_score = [np.zeros(0, vectors.dtype)] * len(ids)
+        self.largest = float(np.abs(vectors).max(initial=0))
+        self.best_score = [np.zeros(0, np.int64)] * len(ids)
         self.best_id = [np.zeros(0, np.int64)] * len(ids)
 
     def add(self, ids: np.ndarray, exact: np.ndarray, number: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        # bounds in doubles, widened by far more than their rounding
         rows = np.arange(number.shape[1])
-        lo, hi = low[number, rows], high[number, rows]
-        up, down = np.maximum(self.q, 0), np.minimum(self.q, 0)
-        most, least = up @ hi.T + down @ lo.T, up @ lo.T + down @ hi.T
+        lo, hi = low.astype(float)[number, rows], high.astype(float)[number, rows]
+        q = self.q.astype(float)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        slack = np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T * 1e-12
+        most, least = up @ hi.T + down @ lo.T + slack, up @ lo.T + down @ hi.T - slack
+        # scores in 64-bit integers, or in integers of any size where those might overflow
+        wide = self.largest * float(np.abs(exact).max(initial=0)) * exact.shape[1] >= 2**62
+        values = exact.astype(object) if wide else exact
         for i in range(len(self.ids)):
             own = ids == self.ids[i]
             scores, found = self.best_score[i], self.best_id[i]
-            floor = scores[-1] if len(scores) >= self.k else None
+            floor = float(scores[-1]) if len(scores) >= self.k else -np.inf
             sure = least[i][~own]
             if len(sure) >= self.k:
-                kth = np.partition(sure, len(sure) - self.k)[len(sure) - self.k]
-                floor = kth if floor is None or kth > floor else floor
-            near = np.flatnonzero(~own if floor is None else (most[i] >= floor) & ~own)
+                floor = max(floor * (1 - np.sign(floor) * 1e-12) if np.isfinite(floor) else floor, np.partition(sure, len(sure) - self.k)[len(sure) - self.k])
+            near = np.flatnonzero((most[i] >= floor) & ~own)
             near = near[np.argsort(-most[i][near], kind="stable")]
             at, step = 0, max(64, 4 * self.k)
             while at < len(near):
@@ -71,15 +77,18 @@ class TopK:
                     break  # bounds only fall from here on
                 take = near[at : at + step]
                 at, step = at + step, step * 4
-                scores = np.concatenate([scores, exact[take] @ self.q[i]])
+                scores = np.concatenate([scores, values[take] @ self.q[i]])
                 found = np.concatenate([found, ids[take]])
-                order = np.lexsort((found, -scores))[: self.k]
+                if scores.dtype == object:
+                    order = sorted(range(len(scores)), key=lambda t: (-scores[t], found[t]))[: self.k]
+                else:
+                    order = np.lexsort((found, -scores))[: self.k]
                 scores, found = scores[order], found[order]
             self.best_score[i], self.best_id[i] = scores, found
 
 
-def _unpack(ids: bytes, values: bytes, d: int, dtype) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, d).astype(dtype)
+def _unpack(ids: bytes, values: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, d)
 
 
 def vector_topk(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vec_col: str = "embedding", *, scale: float = 256.0, k: int = 5) -> DataFrame:
@@ -87,7 +96,7 @@ def vector_topk(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vec_c
 
     Components x become floor(scale * x); the score is their integer inner product; ties go to
     the smaller id.  ``is_query`` is a predicate over ``vectors`` that picks the queries; every
-    usable row is a candidate.  Vectors that are null or hold null or non-finite components, and
+    usable row is a candidate.  A score beyond 64 bits is an error.  Vectors that are null or hold null or non-finite components, and
     rows with null ids, take no part; vectors of different lengths never meet.  A row whose id
     equals the query's counts as the query itself.  An empty table gives an empty result.
 
@@ -144,20 +153,12 @@ def vector_topk(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vec_c
                 c = np.frombuffer(row["exact"], np.int64).reshape(-1, d)
                 key = d, row["qb"]
                 if key not in states:
-                    got = [_unpack(x["q_ids"], x["q_exact"], d, np.int64) for x in batch.column(2)[i].as_py()]
+                    got = [_unpack(x["q_ids"], x["q_exact"], d) for x in batch.column(2)[i].as_py()]
                     q = np.concatenate([x[1] for x in got])
                     states[key] = TopK(np.concatenate([x[0] for x in got]), q, k)
                 top = states[key]
-                # products of whole numbers are exact in doubles below 2^53; beyond, stay with integers
-                safe = float(np.abs(top.q).max(initial=0)) * float(np.abs(c).max(initial=0)) * d < 2**52
-                kind = np.float64 if safe else np.int64
-                if top.q.dtype != kind:
-                    if kind == np.float64:
-                        kind = np.int64  # once integers, always integers
-                    else:
-                        top.q, top.best_score = top.q.astype(kind), [s.astype(kind) for s in top.best_score]
-                low, high = (np.frombuffer(row[x], np.int64).reshape(-1, d).astype(kind) for x in ("low", "high"))
-                top.add(np.frombuffer(row["ids"], np.int64), c.astype(kind), np.frombuffer(row["cells"], np.uint8).reshape(-1, d), low, high)
+                low, high = (np.frombuffer(row[x], np.int64).reshape(-1, d) for x in ("low", "high"))
+                top.add(np.frombuffer(row["ids"], np.int64), c, np.frombuffer(row["cells"], np.uint8).reshape(-1, d), low, high)
         for top in states.values():
             for i in range(len(top.ids)):
                 m = len(top.best_id[i])
