@@ -22,6 +22,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
+#: Most tasks that bundles are dealt to.
+MAX_TASKS = 20_000
 INDEX = "page_id bigint, record_id string, bundle string, frame int, frame_at bigint, offset bigint, length bigint"
 
 
@@ -233,8 +235,12 @@ def _row(headers: dict[str, str], block: bytes) -> tuple:
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Every record of the bundles that ``index`` lists, frame by frame; payload is null for revisits.
 
-    Payload digests are checked while reading.  Bundles are dealt to tasks by name.
+    Payload digests are checked while reading.  Bundles are dealt to tasks by name, one or a few
+    to each; the number of tasks is set from the number of bundles, since their names are too
+    short for adaptive execution to see how much work they are.
     """
+    names = cut(index.select("bundle").distinct(), "warc-bundles")
+    tasks = min(max(names.count(), 1), MAX_TASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -251,7 +257,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                             found.append(_row(headers, block))
                         yield _rows(found)
 
-    return index.select("bundle").distinct().mapInArrow(run, _READ)
+    return names.repartition(tasks, "bundle").mapInArrow(run, _READ)
 
 
 def fetch_records(wanted: DataFrame, folder: str) -> DataFrame:
