@@ -20,7 +20,7 @@ BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np
 SLOT_BITS = 27
 #: An anchor with more than this share of all occurrences, and more than HOT, has its strings dealt out in groups of SPLIT.
 HOT_SHARE, HOT, SPLIT = 1 / 5000, 500, 4
-STRETCH = 2 << 20
+STRETCH = 1 << 20
 #: Bytes of distinct contexts that one index holds.
 INDEX_BYTES = 1 << 20
 _powers: list[np.ndarray] = []
