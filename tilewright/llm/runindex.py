@@ -126,27 +126,23 @@ class RunIndex:
         word = np.zeros(n, np.uint64)
         for j in range(8):
             word = (word << np.uint64(8)) | padded[j : j + n]
-        _, rank = np.unique(word, return_inverse=True)
-        rank, depth, half = rank.astype(np.int64), 8, rank.astype(np.int64)
+        rank = self._ranks(word)
+        depth, half = 8, rank
         half_depth = 8
         while depth < length:
             if depth * 2 > length:
                 half, half_depth = rank, depth
             nxt = np.zeros(n, np.int64)
             nxt[: max(n - depth, 0)] = rank[depth:] + 1
-            pair = (rank << 32) | nxt
-            order = np.argsort(pair, kind="stable")
-            key = pair[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+            rank = self._ranks((rank << 32) | nxt)
             depth *= 2
         # among equal deep prefixes the order is that of the text
-        sa = np.argsort(rank, kind="stable")
+        sa = np.sort((rank << 32) | np.arange(n)) & 0xFFFFFFFF
         tail = np.full(n, -1, np.int64)
         tail[: max(n - (length - half_depth), 0)] = half[length - half_depth :]
         same = np.zeros(n, bool)
         same[1:] = (half[sa[1:]] == half[sa[:-1]]) & (tail[sa[1:]] == tail[sa[:-1]])
-        self.class_start = np.flatnonzero(~same)
+        self.class_of = (np.cumsum(~same) - 1).astype(np.int32)
         self.isa = np.empty(n, np.int64)
         self.isa[sa] = np.arange(n)
         # runs of the transform; ties beyond the depth are in text order, so a run also ends where its rows' predecessors part
@@ -156,10 +152,21 @@ class RunIndex:
         self.run_head = bwt[self.run_start]
         self.sample_first, self.sample_last = sa[self.run_start], sa[np.append(self.run_start[1:], n) - 1]
         self.run_to = self.isa[self.sample_first - 1]
+        # which run and which class of equal strings a row is in, so that a step is a lookup, not a search
+        self.run_of = (np.cumsum(first) - 1).astype(np.int32)
+
+    @staticmethod
+    def _ranks(keys: np.ndarray) -> np.ndarray:
+        """Dense ranks; equal keys get one rank."""
+        order = np.argsort(keys)
+        ordered = keys[order]
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+        return rank
 
     def back(self, row: np.ndarray) -> np.ndarray:
         """Rows of the suffixes that start one byte earlier (LF by runs)."""
-        run = np.searchsorted(self.run_start, row, side="right") - 1
+        run = self.run_of[row]
         return self.run_to[run] + row - self.run_start[run]
 
     def matching_classes(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -172,7 +179,7 @@ class RunIndex:
         place = ends[piece] - self.length
         row = self.isa[place] if len(piece) else place
         while len(piece):
-            yield piece, place, np.searchsorted(self.class_start, row, side="right") - 1
+            yield piece, place, self.class_of[row]
             go = place > starts[piece]
             piece, row, place = piece[go], row[go], place[go] - 1
             row = self.back(row)
