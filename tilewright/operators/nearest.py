@@ -85,13 +85,16 @@ def nearest_expr(rgba: str | Column, palette: Sequence[int], reduction: Reductio
 def nearest_join(pixels: DataFrame, palettes: DataFrame, reduction: Reduction = Reduction(), keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Each distinct colour of a group against its group's palette table (keys, idx, entry): keys, rgba, n, idx, d.
 
-    Colours are counted first, so a pair is formed per distinct colour, not per pixel; palettes
-    have at most 256 rows a group, and the least struct(d, idx) is taken with map-side combining.
+    Colours are counted first, so distances are computed per distinct colour, not per pixel.  A
+    palette has at most 256 entries, so it meets its colours as one array, and the least
+    struct(d, idx) is found row by row: no pair is ever a row, and nothing is aggregated twice.
     """
     seen = pixels.groupBy(*keys, "rgba").agg(F.count("*").alias("n"))
-    d = color.distance(color.yiq("rgba"), color.yiq("entry"), reduction)
-    pairs = seen.join(palettes.select(*keys, "idx", "entry"), list(keys)).select(*keys, "rgba", "n", F.struct(d.alias("d"), "idx").alias("s"))
-    return pairs.groupBy(*keys, "rgba", "n").agg(F.min("s").alias("s")).select(*keys, "rgba", "n", F.col("s.idx").alias("idx"), F.col("s.d").alias("d"))
+    arrays = palettes.select(*keys, F.struct("idx", color.yiq("entry").alias("c")).alias("e")).groupBy(*keys).agg(F.collect_list("e").alias("__palette"))
+    point = color.yiq("rgba")
+    found = F.array_min(F.transform("__palette", lambda e: F.struct(color.distance(F.col("__point"), e["c"], reduction).alias("d"), e["idx"].alias("idx"))))
+    near = seen.join(arrays, list(keys)).withColumn("__point", point).withColumn("s", found)
+    return near.select(*keys, "rgba", "n", F.col("s.idx").alias("idx"), F.col("s.d").alias("d"))
 
 
 def palette_error(nearest_rows: DataFrame, keys: tuple[str, ...] = ("image_id",), limit: float | None = None, weight: str = "n") -> DataFrame:
