@@ -22,7 +22,7 @@ SLOT_BITS = 27
 HOT_SHARE, HOT, SPLIT = 1 / 5000, 500, 4
 STRETCH = 1 << 20
 #: Bytes of distinct contexts that one index holds.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 _powers: list[np.ndarray] = []
 
 
