@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tilewright.llm.components import components
-from tilewright.llm.minhash import drop_near_copies, near_duplicates
+from tilewright.llm.minhash import _signature, drop_near_copies, near_duplicates
 from tilewright.llm.runindex import RunIndex, remove_repeats
 from tilewright.llm.shingles import shingle_sets, word_hashes
 
@@ -74,6 +74,39 @@ def test_large_group_of_near_copies(table):
     assert got == brute_components(rows, 2, 80)
 
 
+def test_near_duplicates_of_every_table(table):
+    """Buckets whose leader is linked to nobody: a pair that shares any table is found, not only one on the diagonal."""
+    rnd, bands, width = random.Random(6), 2, 2
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for i in range(8):
+            t = list(base)
+            for k in rnd.sample(range(60), 3 if i < 2 else 8):
+                t[k] = f"x{rnd.randrange(10**6)}"
+            rows.append((g * 8 + i, " ".join(t)))
+    text = [t.encode() for _, t in rows]
+    sets = shingle_sets(np.frombuffer(b"".join(text), np.uint8), np.cumsum([0] + [len(t) for t in text]), 1)
+    seeds = np.random.default_rng(7).integers(1, 1 << 63, 2 * bands * width, dtype=np.uint64)
+    keys = [_signature(u, seeds, width).tolist() for u in sets]
+    up = list(range(len(rows)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in range(i // 8 * 8, i):
+            shared = [x == y for x, y in zip(keys[i], keys[j])]
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if any(shared[:bands]) and any(shared[bands:]) and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = near_duplicates(table(rows, "doc_id long, text string"), words=1, percent=80, bands=bands, width=width).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(rows))}
+
+
 def test_near_duplicates_of_nothing(no_docs, docs):
     assert near_duplicates(no_docs).count() == 0
     assert drop_near_copies(docs).columns == docs.columns

@@ -141,9 +141,10 @@ def near_duplicates(
     2. In every bucket the best connected node is the leader; each member is compared with it on
        full sets (as many candidates as members, never all pairs).  Confirmed links are joined
        into components.
-    3. Buckets of the bands^2 tables' diagonal that still hold several components are searched
-       exactly: members outside the leader's component against all, in blocks of BLOCK by BLOCK
-       within a kernel that returns one link per pair of components.  No partner is capped.
+    3. Buckets of all bands^2 tables that still hold several components are searched exactly:
+       members outside the leader's component against all, in blocks of BLOCK by BLOCK within a
+       kernel that returns one link per pair of components.  Buckets with the same members are
+       searched once.  No partner is capped.
 
     Sets are hashed to 64 bits and computed from whole texts: once for signatures, and again for
     the rows that have a candidate, so the sets of all other texts are never stored or shuffled.
@@ -159,10 +160,10 @@ def near_duplicates(
     )
     nodes = cut(nodes.withColumn("num", F.monotonically_increasing_id()), "near-nodes")
 
-    half = nodes.select("num", "b", F.posexplode("a").alias("i", "x"))
-    keys = half.select("num", "i", "x", F.posexplode("b").alias("j", "y")).select("num", F.xxhash64("x", "y").alias("key"), (F.col("i") == F.col("j")).alias("diag"))
+    half = nodes.select("num", "b", F.explode("a").alias("x"))
+    keys = half.select("num", "x", F.explode("b").alias("y")).select("num", F.xxhash64("x", "y").alias("key"))
     crowded = cut(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "near-crowded")
-    members = cut(keys.join(crowded, "key").select("key", "num", "diag", "c"), "near-members")
+    members = cut(keys.join(crowded, "key").select("key", "num", "c"), "near-members")
     degree = cut(members.groupBy("num").agg(F.sum("c").alias("degree")), "near-degree")
     led = members.join(degree, "num").groupBy("key").agg(F.max(F.struct(F.col("degree"), (-F.col("num")).alias("m"))).alias("best"))
     leaders = cut(led.select("key", (-F.col("best.m")).alias("leader")), "near-leaders")
@@ -172,7 +173,7 @@ def near_duplicates(
     pairs = cut(pairs.where(F.expr(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")), "near-pairs")
 
     # full sets of every node that has a candidate, from the texts again
-    wanted = pairs.select(F.col("u").alias("num")).union(pairs.select(F.col("v").alias("num"))).union(members.where("diag and c > 2").select("num")).distinct()
+    wanted = pairs.select(F.col("u").alias("num")).union(pairs.select(F.col("v").alias("num"))).union(members.where("c > 2").select("num")).distinct()
     wanted = cut(nodes.join(wanted, "num").select("num", "node", F.col("__first").alias("__want")), "near-wanted")
     texts = picked.join(wanted.select("__want").distinct(), F.col("__id").eqNullSafe(F.col("__want")), "left_semi").select("__text")
     sets = texts.mapInArrow(_sets(words), "node binary, s array<bigint>").join(wanted.select("node", "num"), "node").dropDuplicates(["num"]).select("num", "s")
@@ -183,10 +184,12 @@ def near_duplicates(
     links = cut(checked.where(_linked(common, F.col("nu"), F.col("nv"), percent)).select("u", "v"), "near-links")
     comps = components(links)
 
-    placed = members.where("diag and c > 2").join(comps.withColumnRenamed("node", "num"), "num", "left").select("key", "num", F.coalesce("component", "num").alias("comp"))
+    placed = members.where("c > 2").join(comps.withColumnRenamed("node", "num"), "num", "left").select("key", "num", F.coalesce("component", "num").alias("comp"))
     placed = cut(placed.join(leaders, "key"), "near-placed")
     head = placed.where("num = leader").select("key", F.col("comp").alias("lead_comp"))
-    mixed = cut(placed.join(head, "key").groupBy("key").agg(F.first("lead_comp").alias("lead_comp"), F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("lead_comp")).alias("o")).where("o > 0"), "near-mixed")
+    alike = [F.bit_xor(F.xxhash64("num", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    mixed = placed.join(head, "key").groupBy("key").agg(F.first("lead_comp").alias("lead_comp"), F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("lead_comp")).alias("o"), *alike).where("o > 0")
+    mixed = cut(mixed.groupBy("m", "h0", "h1").agg(F.min("key").alias("key"), F.first("lead_comp").alias("lead_comp"), F.first("o").alias("o")).drop("h0", "h1"), "near-mixed")
     slot = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     in_mixed = placed.join(mixed, "key").withColumn("bu", slot("o")).withColumn("bm", slot("m"))
     spread = F.xxhash64("num")
