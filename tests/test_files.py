@@ -201,6 +201,31 @@ def test_screen_from_existing_data(folder):
     assert len(again["out_scr.bin"]) == len(first["out_scr.bin"])
 
 
+def grey(h, w, level):
+    return rgba(np.full((h, w, 3), level, np.uint8))
+
+
+def test_diffusion_of_backgrounds():
+    """A ramp of greys in two colours: diffusion mixes them, tile by tile, and the default keeps a plain edge."""
+    ramp = np.concatenate([grey(16, 8, v) for v in (100, 110, 120, 130, 140, 150)], axis=1)
+    plain, mixed = (convert.background(ramp, EncodeOptions(max_colors=3, bg_type=kind, diffuse=d).checked()) for kind, d in (("text4", 0.0), ("text4", 1.0)))
+    assert all(len(np.unique(t)) == 1 for t in plain["chars"]) and any(len(np.unique(t)) == 2 for t in mixed["chars"])
+    assert (mixed["chars"] > 0).all()
+    opaque = convert.background(ramp, EncodeOptions(max_colors=2, diffuse=1.0, color0_opaque=True).checked())
+    assert any(len(np.unique(t)) == 2 for t in opaque["chars"])
+
+
+def test_diffusion_of_direct_and_layers():
+    px = grey(32, 32, 100)
+    plain, mixed = (texture.decode_image(*texture.encode_image(px, 7, Reduction(), diffuse=d)) & 255 for d in (0.0, 1.0))
+    off = lambda shown: abs(shown.mean() - 100)
+    assert len(np.unique(plain)) == 1 and off(mixed) <= off(plain)
+    ramp = np.concatenate([grey(32, 8, v) for v in (60, 90, 120, 150)], axis=1)
+    one, two = (texture.encode_layers([ramp, ramp], 2, Reduction(), 3, d)[0] for d in (0.0, 1.0))
+    alone = texture.encode_layers([ramp], 2, Reduction(), 3, 1.0)[0]
+    assert one != two and two == alone
+
+
 def test_palette_swap_files():
     a, b = rgba(picture(8, 8) // 128 * 128), rgba(picture(8, 8) // 128 * 128)
     o = EncodeOptions(mode="texture", texture_format="palette256").checked()

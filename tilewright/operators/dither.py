@@ -53,37 +53,61 @@ def index_image(rgba: np.ndarray, palette: np.ndarray, reduction: Reduction, amo
         flat, back = np.unique(points.reshape(-1, 4), axis=0, return_inverse=True)
         found = nearest_entries(flat, colors, reduction)[0][back.ravel()].reshape(h, w) + first
         return np.where(clear, 0, found)
+    own_distance = differences(points.reshape(-1, 4), colors, reduction).reshape(h, w, -1)
+    find = lambda wanted: int(differences(wanted, colors[:, None], reduction)[0].argmin())
+    own = own_distance.argmin(axis=-1)
+    out = _diffused(points[:, :, None], own, own_distance.min(axis=-1), find, lambda k: colors[k][None], clear, reduction, amount, reduction.alpha_mode == ALPHA_PALETTE)
+    return np.where(clear, 0, out + first)
+
+
+def _diffused(points: np.ndarray, plain: np.ndarray, distance: np.ndarray, find, color_of, clear: np.ndarray, reduction: Reduction, amount: float, keep_alpha: bool = False) -> np.ndarray:
+    """Entries of (height, width, layers) points with diffusion.
+
+    ``plain`` and ``distance`` are each place's nearest entry without it, ``find`` gives the entry
+    of (1, layers) points and ``color_of`` an entry's points.  ``clear`` places take no part.
+    """
+    h, w, layers = points.shape[:3]
     y2 = reduction.squares[0]
-    near = blurred(points)
-    gap = points - near
+    gap = points - np.stack([blurred(points[:, :, k]) for k in range(layers)], axis=2)
     centre = (gap[..., :3] ** 2) @ np.array(reduction.squares) + reduction.alpha_square * gap[..., 3] ** 2 - gap[..., 3] * (gap[..., :3] @ np.array(reduction.interaction))
-    own_distance = differences(points.reshape(-1, 4), colors, reduction).reshape(h, w, -1)
-    error = np.zeros((h + 1, w + 2, 4))
+    smooth = (centre.mean(axis=2) < 110 * y2) & (distance > 2 * y2)
+    error = np.zeros((h + 1, w + 2, layers, 4))
     out = np.zeros((h, w), np.int64)
-    keep_alpha = reduction.alpha_mode == ALPHA_PALETTE
     for r in range(h):
         step = 1 if r % 2 == 0 else -1
         for c in range(w)[::step]:
             if clear[r, c]:
                 continue
+            if not smooth[r, c]:
+                out[r, c] = plain[r, c]
+                continue
             own = points[r, c]
-            plain = own_distance[r, c]
-            if centre[r, c] < 110 * y2 and plain.min() > 2 * y2:
-                wanted = own + _curve(error[r, c + 1]) * amount
-                wanted[0] = min(max(wanted[0], 0.0), 511.0)
-                wanted[3] = min(max(wanted[3], 0.0), 1.0) if keep_alpha else own[3]
-                k = int(differences(wanted[None], colors, reduction)[0].argmin())
-                left = wanted - colors[k]
-                if not keep_alpha:
-                    left[3] = 0.0
-                for share, (dr, dc) in zip(SHARES, ((0, step), (1, -step), (1, 0), (1, step)), strict=True):
-                    error[r + dr, c + 1 + dc] += left * share / 16
-            else:
-                k = int(plain.argmin())
-            out[r, c] = k + first
+            wanted = own + np.array([_curve(e) for e in error[r, c + 1]]) * amount
+            wanted[:, 0] = np.clip(wanted[:, 0], 0.0, 511.0)
+            wanted[:, 3] = np.clip(wanted[:, 3], 0.0, 1.0) if keep_alpha else own[:, 3]
+            k = out[r, c] = find(wanted[None])
+            left = wanted - color_of(k)
+            if not keep_alpha:
+                left[:, 3] = 0.0
+            for share, (dr, dc) in zip(SHARES, ((0, step), (1, -step), (1, 0), (1, step)), strict=True):
+                error[r + dr, c + 1 + dc] += left * share / 16
     return out
 
 
+def index_layers(px: np.ndarray, palettes: np.ndarray, reduction: Reduction, amount: float = 0.0) -> np.ndarray:
+    """Indices of opaque (height, width, layers) colours in (entries, layers) palettes; errors pass on in all layers at once."""
+    points, colors = yiq_array(px), yiq_array(palettes)
+    h, w, layers = px.shape
+    flat, back = np.unique(px.reshape(-1, layers), axis=0, return_inverse=True)
+    d = differences(yiq_array(flat), colors, reduction)
+    plain = d.argmin(axis=1)[back.ravel()].reshape(h, w)
+    if amount <= 0:
+        return plain
+    least = d.min(axis=1)[back.ravel()].reshape(h, w)
+    find = lambda wanted: int(differences(wanted, colors, reduction)[0].argmin())
+    return _diffused(points, plain, least, find, lambda k: colors[k], np.zeros((h, w), bool), reduction, amount)
+
+
 def index_images(images: DataFrame, palettes: DataFrame, reduction: Reduction = Reduction(), amount: float = 0.0) -> DataFrame:
     """``images`` (image_id, width, height, px binary of little-endian rgba) to (image_id, width, height, indices binary of uint16).
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from ..config import ALPHA_NONE, ALPHA_PALETTE, ALPHA_RESERVE, Reduction
 from ..functions.texture import FORMATS, INDEX_COLORS, TEXEL_BITS
 from .blocks4 import decode_blocks, encode_blocks
-from .dither import index_image
-from .nearest import differences, yiq_array
+from .dither import _diffused, index_image, index_layers
+from .nearest import differences, rgba_array, yiq_array
 from .palette import create_palette, snap15_array
 
 OUT = "image_id bigint, fmt int, width int, height int, param int, texel binary, pidx binary, palette binary"
@@ -96,6 +96,33 @@ def nearest15(rgba: np.ndarray, reduction: Reduction) -> np.ndarray:
     return np.where(best, words, 1 << 16).min(axis=1)[back].reshape(rgba.shape)
 
 
+def diffused15(rgba: np.ndarray, reduction: Reduction, amount: float) -> np.ndarray:
+    """15-bit words of all visible pixels with error diffusion; ``amount`` is its share.
+
+    The nearest word of a diffused colour is sought from the rounded one, a step at a time in all
+    channels, until no neighbour is nearer.
+    """
+    every = yiq_array(colors24(np.arange(1 << 15)) | 0xFF000000)
+    around = np.array([(r, g, b) for r in (-1, 0, 1) for g in (-1, 0, 1) for b in (-1, 0, 1)])
+    solid = rgba | np.int32(-16777216)
+    points, plain = yiq_array(solid), nearest15(solid, reduction)
+    gap = points - every[plain]
+    distance = (gap[..., :3] ** 2) @ np.array(reduction.squares)
+
+    def find(wanted: np.ndarray) -> int:
+        at = int(colors15(rgba_array(wanted[0]))[0])
+        while True:
+            parts = np.clip(np.array([at & 31, at >> 5 & 31, at >> 10]) + around, 0, 31)
+            words = np.unique(parts[:, 0] | parts[:, 1] << 5 | parts[:, 2] << 10)
+            d = differences(wanted[0], every[words], reduction)[0]
+            if d.min() >= d[words == at][0]:
+                return at
+            at = int(words[d.argmin()])
+
+    clear = ((rgba.astype(np.int64) >> 24) & 255) < 128
+    return _diffused(points[:, :, None], plain, distance, find, lambda k: every[k][None], clear, reduction, amount)
+
+
 def param_of(width: int, height: int, fmt: int, transparent0: bool) -> int:
     return fmt << 26 | (width.bit_length() - 4) << 20 | (height.bit_length() - 4) << 23 | transparent0 << 29
 
@@ -107,7 +134,7 @@ def encode_image(rgba: np.ndarray, fmt: int, reduction: Reduction, *, n_colors:
     alpha = (px.astype(np.int64) >> 24) & 255
     param = param_of(w, h, fmt, transparent0)
     if fmt == FORMATS["direct"]:
-        words = nearest15(px, reduction) | np.where(alpha >= 128, 0x8000, 0)
+        words = (diffused15(px, reduction, diffuse) if diffuse > 0 else nearest15(px, reduction)) | np.where(alpha >= 128, 0x8000, 0)
         return param, np.where(alpha >= 128, words, 0).astype("<u2").tobytes(), b"", b""
     if fmt == FORMATS["tex4x4"]:
         texel, pidx, colors = encode_blocks(px, reduction, n_colors or 256, threshold)
@@ -236,7 +263,7 @@ def encode_layers(layers: list[np.ndarray], n: int, reduction: Reduction, fmt: i
     weight = np.bincount(back.ravel(), minlength=len(flat)).astype(float)
     made = create_palette(yiq_array(flat), weight, n, reduction)
     made = sort_palette(made, reduction, same_first=True)
-    index = differences(yiq_array(flat), yiq_array(made), reduction).argmin(axis=1)[back.ravel()].reshape(px.shape[:2])
+    index = index_layers(solid, made, reduction, diffuse)
     return pack_bits(index, TEXEL_BITS[fmt]), [colors15(made[:, k]).tobytes() for k in range(len(layers))]
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Reduction
+from ..config import ALPHA_NONE, ALPHA_RESERVE, Reduction
 from ..functions import color
 from ..functions.texture import screen_entry
+from .dither import index_image
 from .nearest import differences, nearest_entries, yiq_array
 
 SIDE = 8
@@ -222,8 +225,15 @@ def assemble_screen(tiles: DataFrame, chars: list[list[int]], palettes: list[lis
     return out.withColumn("entry", screen_entry("char", "flip", "palette"))
 
 
-def index_tiles(px: np.ndarray, palette: np.ndarray, reduction: Reduction, opaque0: bool = False) -> np.ndarray:
-    """Nearest indices of a tile's pixels; without ``opaque0``, index 0 is for transparent pixels only."""
+def index_tiles(px: np.ndarray, palette: np.ndarray, reduction: Reduction, opaque0: bool = False, amount: float = 0.0) -> np.ndarray:
+    """Nearest indices of a tile's pixels; without ``opaque0``, index 0 is for transparent pixels only.
+
+    With ``amount``, that share of the error is diffused within the tile.
+    """
+    if amount > 0 and len(palette) > (0 if opaque0 else 1):
+        mode = replace(reduction, alpha_mode=ALPHA_NONE if opaque0 else ALPHA_RESERVE)
+        solid = palette | np.int32(-16777216)
+        return index_image(px.reshape(SIDE, SIDE), solid, mode, amount).ravel()
     points = yiq_array(px)
     if opaque0:
         return nearest_entries(points, yiq_array(palette), reduction)[0]

@@ -140,7 +140,8 @@ def background(px: np.ndarray, o: EncodeOptions) -> dict[str, object]:
         users = np.unique(at[np.isin(back, np.flatnonzero(master == m))])
         costs = [(float(nearest_entries(yiq_array(shown[shown != 0]), yiq_array(made[p]), red)[1].sum()) if len(made[p]) and (shown != 0).any() else 0.0, p) for p in users]
         pal_of[m] = min(costs)[1]
-        index = tl.index_tiles(shown, palettes[pal_of[m]], red, o.color0_opaque)
+        alone = np.count_nonzero(master == m) == 1  # averages of merged tiles are not diffused
+        index = tl.index_tiles(shown, palettes[pal_of[m]], red, o.color0_opaque, o.diffuse if alone else 0.0)
         chars.append(np.where(index > 0, index + o.palette_offset, 0) if not o.color0_opaque else index + o.palette_offset)
     char_base = o.char_base or 0
     entries = np.array([((number[master[t]] + char_base) & 0x3FF) | flip[t] << 10 | ((pal_of[master[t]] + o.palette_base) & 15) << 12 for t in back], np.int64)
@@ -220,6 +221,10 @@ def tl_indices(px: np.ndarray, made: dict, o: EncodeOptions) -> np.ndarray:
     """Indices of a bitmap with more distinct tiles than a screen could name."""
     colors = (colors24(made["palette"][0]) | 0xFF000000).astype(np.uint32).view(np.int32)
     h, w = made["height"] * 8, made["width"] * 8
+    if o.diffuse > 0:
+        tiles = px[:h, :w].reshape(h // 8, 8, w // 8, 8).transpose(0, 2, 1, 3).reshape(-1, 64)
+        found = np.array([tl.index_tiles(t, colors[: o.max_colors], o.reduction, o.color0_opaque, o.diffuse) for t in tiles])
+        return found.reshape(h // 8, w // 8, 8, 8).transpose(0, 2, 1, 3).reshape(h, w)
     return tl.index_tiles(px[:h, :w].ravel(), colors[: o.max_colors], o.reduction, o.color0_opaque).reshape(h, w)
 
 

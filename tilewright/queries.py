@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import Reduction
+from .config import EncodeOptions, Reduction
 from .functions import color as c
 from .functions import texture as t
 from .operators import codecs, dither, histogram, images, nearest, palette, texture, tiles
 from .plans import adapters as ad
+from .plans import convert
 from .sources import files, sinks
 from .sql import D, LINEITEM, EVENTS, PARTS, ch, distance_sql, from15_sql, milli, pack_sql, snap6_sql, snap15_sql, to5_sql, yiq_sql
 
@@ -494,6 +495,27 @@ def c16(spark, folder):
     return texture.encode_textures(_whole_rows(ad.event_pixels(spark, folder), 64), "tex4x4", n_colors=64).select("image_id", "param", F.octet_length("texel").alias("texel_bytes"), F.octet_length("pidx").alias("pidx_bytes"), F.octet_length("palette").alias("palette_bytes"))
 
 
+@query("c13_direct_diffused")
+def c13_diffused(spark, folder):
+    made = texture.encode_textures(_part_images(spark, folder), "direct", diffuse=0.5)
+    return files.pixels_of(texture.decode_textures(made)).select("image_id", "y", "x", "rgba")
+
+
+@query("c10_background_diffused")
+def c10_diffused(spark, folder):
+    named = _whole_rows(ad.event_pixels(spark, folder), 64).withColumn("name", F.concat(F.lit("bg"), F.col("image_id")))
+    made = convert.convert(named, EncodeOptions(bg_type="text4", diffuse=0.5))
+    return made.select("image_id", "name", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("h"))
+
+
+@query("c21_layers_diffused")
+def c21_diffused(spark, folder):
+    px = ad.part_pixels(spark, folder)
+    layers = [_whole_rows(px if k == "a" else px.withColumn("rgba", c.swap_red_blue("rgba")), 16).withColumn("name", F.lit(k)) for k in "ab"]
+    made = convert.convert_layers(layers[0].unionByName(layers[1]), EncodeOptions(mode="texture", texture_format="palette16", diffuse=0.5), "image_id")
+    return made.select("image_id", "name", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("h"))
+
+
 _TEXTS = "SELECT item_id, octet_length(encode(coalesce(text, ''))) AS n, sha256(coalesce(text, '')) AS h FROM benchmark"
 
 
