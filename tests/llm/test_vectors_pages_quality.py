@@ -124,7 +124,8 @@ def test_compiled_rules_equal_the_model(spark):
     model = quality.fit_rules(x, y)
     assert model.rules and ((model.scores(x) >= 0.5) == (y > 0)).mean() > 0.97
     df = spark.createDataFrame(x.tolist(), ", ".join(f"{s} double" for s in quality.STATISTICS))
-    got = np.array([r.s for r in df.select(model.column().alias("s")).collect()])
+    got = np.array([r.s for r in model.apply(df, "s").collect()])
+    assert len(model.rules) <= quality.MAX_RULES
     assert np.abs(got - model.scores(x)).max() < 1e-12
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ STATISTICS = (
 )
 #: Most labelled rows that a model is fitted on; a larger set is sampled by a hash of the id.
 MAX_TRAINING_ROWS = 20_000
+#: Slots of the histogram of id hashes that finds the sample's cut-off: at most this many rows reach the driver.
+HASH_SLOTS = 1 << 16
+#: Most rules of a model, which bounds the compiled expression.
+MAX_RULES = 40
 
 _CLASS = np.zeros((8, 256), np.int32)
 for _i, _set in enumerate((range(65, 91), range(97, 123), range(48, 58), (9, 10, 11, 12, 13, 32), (10,), b".!?", b",;:'\"-()")):
@@ -121,11 +126,11 @@ def tree_paths(x: np.ndarray, residual: np.ndarray, depth: int, bins: list[np.nd
     return paths, leaves
 
 
-def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated proximal gradient descent."""
+def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400, start: tuple[np.ndarray, float] | None = None, step: float | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated proximal gradient descent, from ``start`` if given."""
     n, d = z.shape
-    step = 4.0 / max(float(np.linalg.eigvalsh(z.T @ z)[-1]) / n + 1, 1e-9)
-    weight, base = np.zeros(d), 0.0
+    step = step or lasso_step(z)
+    weight, base = start or (np.zeros(d), 0.0)
     ahead, ahead_base, t = weight, base, 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ ahead.astype(z.dtype) + ahead_base, -30, 30).astype(float)))
@@ -138,6 +143,43 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 4
     return weight, base
 
 
+def lasso_step(z: np.ndarray) -> float:
+    """A step no longer than the inverse of the loss's curvature."""
+    return 4.0 / max(float(np.linalg.eigvalsh(z.T @ z)[-1]) / len(z) + 1, 1e-9)
+
+
+def lasso_path(z: np.ndarray, y: np.ndarray, most: int, check: np.ndarray, points: int = 16, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and intercept at the penalty that predicts the rows of ``check`` best, with at most ``most`` weights.
+
+    Penalties fall geometrically from the one that silences every rule.  The path is first
+    followed on the other rows; the penalty with the least loss on ``check`` is taken, and the path
+    to it is followed on all rows, no further than ``most`` weights.
+    """
+    prior = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    top = float(np.abs((y - y.mean()).astype(z.dtype) @ z).max()) / len(z)
+    penalties = top * np.geomspace(1, 1e-3, points + 1)[1:]
+
+    def follow(rows: np.ndarray, penalties: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+        at, step = (np.zeros(z.shape[1]), float(np.log(prior / (1 - prior)))), lasso_step(z[rows])
+        for penalty in penalties:
+            at = lasso_logistic(z[rows], y[rows], penalty, rounds, at, step)
+            if np.count_nonzero(at[0]) > most:
+                return
+            yield at
+
+    losses = []
+    for weight, base in follow(~check, penalties):
+        total = np.clip(z[check] @ weight.astype(z.dtype) + base, -30, 30).astype(float)
+        losses.append(np.log1p(np.exp(-np.where(y[check] > 0, total, -total))).mean())
+    if not losses:
+        return np.zeros(z.shape[1]), float(np.log(prior / (1 - prior)))
+    chosen = int(np.argmin(losses))
+    found = np.zeros(z.shape[1]), float(np.log(prior / (1 - prior)))
+    for found in follow(np.ones(len(z), bool), penalties[: chosen + 1]):
+        pass
+    return found
+
+
 @dataclass(frozen=True)
 class RuleModel:
     """``intercept`` plus the weight of every rule that holds, through the logistic function."""
@@ -145,15 +187,25 @@ class RuleModel:
     rules: tuple[tuple[Rule, float], ...]
     intercept: float
 
-    def column(self) -> Column:
-        """The score as one expression over the statistics' columns."""
-        total = F.lit(self.intercept)
+    def tests(self) -> list[tuple[int, bool, float]]:
+        """The distinct threshold tests of all rules."""
+        return sorted({test for rule, _ in self.rules for test in rule})
+
+    def apply(self, stats: DataFrame, name: str) -> DataFrame:
+        """``stats`` with the score as column ``name``.
+
+        Every distinct threshold test becomes one boolean column in a projection of its own, rules
+        are conjunctions of those, and their weights are added in a balanced tree, so the
+        expression stays as small and as shallow as its at most MAX_RULES rules allow.
+        """
+        tests = {t: f"__test_{k}" for k, t in enumerate(self.tests())}
+        shown = stats.withColumns({c: (F.col(STATISTICS[j]) > t) if above else (F.col(STATISTICS[j]) <= t) for (j, above, t), c in tests.items()}) if tests else stats
+        terms = [F.lit(self.intercept)]
         for rule, weight in self.rules:
-            hit = F.lit(True)
-            for j, above, t in rule:
-                hit = hit & ((F.col(STATISTICS[j]) > t) if above else (F.col(STATISTICS[j]) <= t))
-            total = total + F.when(hit, F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+            terms.append(F.when(reduce(Column.__and__, [F.col(tests[t]) for t in rule]), F.lit(weight)).otherwise(F.lit(0.0)))
+        while len(terms) > 1:
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + ([terms[-1]] if len(terms) % 2 else [])
+        return shown.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))).drop(*tests.values())
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.intercept)
@@ -162,11 +214,12 @@ class RuleModel:
         return 1 / (1 + np.exp(-total))
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, rate: float = 0.3, penalty: float = 5e-4, seed: int = 1) -> RuleModel:
+def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 24, depth: int = 3, rate: float = 0.3, most: int = MAX_RULES, seed: int = 1) -> RuleModel:
     """Boost small trees, take the path to each of their nodes as a rule, and weigh the rules by lasso.
 
-    Rows are ordered by their values first, so the model depends on the set of rows alone.  One
-    class gives its smoothed share as a constant score, no rows 0.5.
+    The penalty is chosen on a fifth of the rows (see ``lasso_path``); at most ``most`` rules are
+    left.  Rows are ordered by their values first, so the model depends on the set of rows
+    alone.  One class gives its smoothed share as a constant score, no rows 0.5.
     """
     n = len(y)
     prior = (float(y.sum()) + 0.5) / (n + 1)
@@ -193,6 +246,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3,
         if 0 < hit.sum() < n:
             distinct.setdefault(np.packbits(hit).tobytes(), rule)
     rules = list(distinct.values())
+    if not rules:
+        return RuleModel((), base)
     z = np.empty((n, len(rules)), np.float32)
     for k, rule in enumerate(rules):
         z[:, k] = _holds(rule, x)
@@ -200,7 +255,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3,
     spread = np.sqrt(share * (1 - share))
     z -= share.astype(np.float32)
     z /= spread.astype(np.float32)
-    weight, intercept = lasso_logistic(z, y, penalty)
+    check = np.zeros(n, bool)
+    for label in (0, 1):  # a fifth of each class, at least one row
+        rows = np.flatnonzero(y == label)
+        check[rng.permutation(rows)[: max(1, len(rows) // 5)]] = True
+    weight, intercept = lasso_path(z, y, most, check)
     weight = weight / spread
     intercept -= float(weight @ share)
     kept = tuple((r, float(w)) for r, w in zip(rules, weight, strict=True) if w)
@@ -217,8 +276,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Statistics of every whole text are written once.  A model is fitted on at most ``max_rows``
     labelled rows outside the held-out fold (those with the least hash of the id) and compiled
-    into one column expression, so scoring is a projection of the written statistics: text is
-    read once and never shuffled.  Only the bounded training rows reach the driver.
+    into column expressions, so scoring is a projection of the written statistics: text is
+    read once and never shuffled.  Only the bounded training rows, and a histogram of HASH_SLOTS
+    counts that finds them, reach the driver.
 
     Labels that are null, or whose id is null or not in ``docs``, are ignored; an id labelled
     more than once counts with its smallest label.  Null and empty texts are scored on
@@ -227,14 +287,29 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     stats = cut(text_statistics(docs, id_col, text_col).withColumn("row_tag", F.monotonically_increasing_id()), "quality-stats")
     labelled = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     labelled = labelled.where(~held_out("__id")).groupBy("__id").agg(F.min("__y").alias("__y"))
-    chosen = stats.join(labelled, "__id").select(F.xxhash64("__id").alias("__h"), "__y", *STATISTICS).orderBy("__h", *STATISTICS).limit(max_rows).toArrow()
+    known = cut(stats.join(labelled, "__id").select(F.xxhash64("__id").alias("__h"), "__y", *STATISTICS), "quality-labelled")
+    chosen = _least_hashes(known, max_rows).toArrow()
     x = np.column_stack([chosen.column(s).to_numpy() for s in STATISTICS]) if chosen.num_rows else np.zeros((0, len(STATISTICS)))
     y = chosen.column("__y").to_numpy() if chosen.num_rows else np.zeros(0)
     model = fit_rules(x, (y > 0).astype(float))
-    scored = stats.select(F.col("__id").alias(id_col), held_out("__id").alias("held_out"), model.column().alias("score"), "row_tag")
+    scored = model.apply(stats, "__score").select(F.col("__id").alias(id_col), held_out("__id").alias("held_out"), F.col("__score").alias("score"), "row_tag")
     return scored.select(id_col, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "row_tag")
 
 
+def _least_hashes(known: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows with the least ``__h``.
+
+    A histogram of the hashes, pre-aggregated, finds the slot in which the last of them lies, so no
+    more than ``most`` rows and that slot's are sorted by one task, however many rows there are.
+    """
+    slot = F.pmod(F.shiftrightunsigned("__h", 64 - (HASH_SLOTS.bit_length() - 1)), F.lit(HASH_SLOTS))
+    sizes = known.groupBy(slot.alias("s")).agg(F.count("*").alias("n")).toArrow()
+    order = np.argsort(sizes.column("s").to_numpy())
+    slots, ends = sizes.column("s").to_numpy()[order], np.cumsum(sizes.column("n").to_numpy()[order])
+    last = int(slots[min(np.searchsorted(ends, most), len(slots) - 1)]) if len(slots) else 0
+    return known.where(slot <= last).orderBy(slot, "__h", *STATISTICS).limit(most)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, unchanged; ``docs`` should read a written table."""
     tag = "__row_tag"
