@@ -7,7 +7,8 @@ import pytest
 
 from tilewright.llm.components import components
 from tilewright.llm.minhash import _signature, drop_near_copies, near_duplicates
-from tilewright.llm.runindex import RunIndex, remove_repeats
+from tilewright.llm.rindex import RunIndex, late_spans
+from tilewright.llm.runindex import remove_repeats
 from tilewright.llm.shingles import shingle_sets, word_hashes
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -131,19 +132,61 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_run_index_classes():
+@pytest.mark.parametrize("alphabet", [b"ab", b"abcdefgh", bytes([0, 1, 254 - 10]), b"a"])
+def test_matching_statistics(alphabet):
     rnd = random.Random(2)
-    parts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 60))) * 2 for _ in range(30)]
-    text = b"".join(parts)
-    ends = np.cumsum([len(p) for p in parts])
-    index = RunIndex(np.frombuffer(text, np.uint8), 10)
-    starts = ends - np.array([len(p) for p in parts])
-    seen = {}
-    for piece, place, kind in index.matching_classes(starts, ends):
-        for p, k in zip(place.tolist(), kind.tolist()):
-            assert seen.setdefault(text[p : p + 10], k) == k
-    assert len(set(seen.values())) == len(seen)
-    assert len(index.run_start) <= len(text) and (index.sample_first >= 0).all()
+    piece = lambda: bytes(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) * rnd.randint(1, 3)
+    held, parts = [piece() for _ in range(30)], np.array([rnd.randrange(3) for _ in range(30)])
+    asked = [piece() + held[rnd.randrange(30)][5:] + piece() for _ in range(20)] + [b"zz" + held[3], b""]
+    own = np.array([rnd.randrange(4) for _ in asked])
+    index = RunIndex(held, parts)
+    n = len(index.text)
+    assert all(len(x) == len(index.start) <= n for x in (index.head, index.first, index.last, index.leads_to, index.last_row, index.by_head))
+    lengths, positions, starts, ends = index.matching_statistics(asked, own)
+    for s, part, a, e in zip(asked, own, starts, ends):
+        assert e - a == len(s)
+        for i in range(len(s)):
+            n = lengths[a + i]
+            texts = [h for h, p in zip(held, parts) if p == part]
+            assert all(s[i : i + n + 1] not in h for h in texts) if i + n < len(s) else True
+            assert n == 0 or any(s[i : i + n] in h for h in texts)
+            if n:  # the position is that of such a match
+                at = positions[a + i]
+                assert bytes(index.text[at : at + n] - np.uint8(1)) == s[i : i + n]
+
+
+def test_repetitive_text_has_few_runs():
+    rnd = random.Random(3)
+    base = bytes(rnd.choice(b"abcdefgh") for _ in range(150))
+    copies = [base[: 20 + k] + b"x" + base[21 + k :] for k in range(100)]
+    index = RunIndex(copies, np.zeros(100, np.int64))
+    assert len(index.start) < len(index.text) / 10
+
+
+def test_late_spans():
+    rnd = random.Random(4)
+    strings, groups = [], []
+    for g in range(40):
+        base = [bytes(rnd.choice(b"abcdefgh") for _ in range(60)) for _ in range(2)]
+        for _ in range(rnd.choice([1, 2, 3, 9, 33])):
+            t = bytearray(rnd.choice(base))
+            if rnd.random() < 0.7:
+                t[rnd.randrange(60)] = 120
+            strings.append(bytes(t[rnd.randint(0, 8) : 60 - rnd.randint(0, 8)]))
+            groups.append(g)
+    got = np.zeros((len(strings), 60), bool)
+    for i, s, e in zip(*late_spans(strings, np.array(groups), 20)):
+        assert not got[i, s:e].any()
+        got[i, s:e] = True
+    seen = set()
+    for i, (g, t) in enumerate(zip(groups, strings)):
+        want = np.zeros(60, bool)
+        for k in range(len(t) - 19):
+            if (g, t[k : k + 20]) in seen:
+                want[k : k + 20] = True
+        seen |= {(g, t[k : k + 20]) for k in range(len(t) - 19)}
+        assert (got[i] == want).all()
+    assert not len(late_spans([], np.zeros(0, np.int64), 20)[0])
 
 
 def brute_repeats(rows, length):
@@ -165,7 +208,7 @@ def found_repeats(df, **options):
     return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, hashlib.sha256(bytes(r.kept)).hexdigest(), len(r.spans)) for r in remove_repeats(df, **options).collect())
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_count": 2, "hot_share": 0.0}, {"hot_count": 1, "hot_share": 0.0, "slice_bytes": 2000}, {"slice_bytes": 400}])
+@pytest.mark.parametrize("options", [{}, {"hot_count": 2, "hot_share": 0.0}, {"hot_count": 1, "hot_share": 0.0, "slice_bytes": 2000}, {"slice_bytes": 400}, {"settle": False}, {"settle": False, "hot_count": 3, "hot_share": 0.0}, {"big": 1, "slice_bytes": 3000}])
 def test_repeats(table, options):
     rnd = random.Random(5)
     piece = lambda n, a="ab \n": "".join(rnd.choice(a) for _ in range(n))

@@ -11,19 +11,28 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .arrow import flat, slices
+from .rindex import late_spans
 from .runtime import cut
 from .shingles import BASE, mix
 
 #: A random number for each byte; unlike in shingles, letter case counts.
 BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bits of each filter of anchors and keys: this fixes the size of all that is collected and broadcast (16 MB each).
+#: Most bits of a filter of anchors or keys: this bounds all that is collected and broadcast (16 MB each).
 SLOT_BITS = 27
+#: Slots of a filter for each entry, as a power of two, while SLOT_BITS allow it.
+SPARE_BITS = 4
 #: An anchor with more than this share of all occurrences, and more than HOT, has its strings dealt out in groups of SPLIT.
 HOT_SHARE, HOT, SPLIT = 1 / 5000, 500, 4
+#: A key with more distinct contexts than this has its strings dealt out in the same way before they are indexed.
+BIG = 4096
 STRETCH = 1 << 20
-#: Bytes of distinct contexts that one index holds.
-INDEX_BYTES = 1 << 19
+#: Bytes of distinct contexts that are searched together.
+INDEX_BYTES = 1 << 20
+#: The second hash is a polynomial over the integers modulo this prime, with numbers of its own for the bytes.
+PRIME, BASE2 = np.uint64((1 << 31) - 1), 1_103_515_245
+BYTE2 = np.random.default_rng(13).integers(1, (1 << 31) - 1, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
+_residues: list[np.ndarray] = []
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,6 +43,19 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _pow2(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE2 and of its inverse modulo PRIME."""
+    if not _residues or len(_residues[0]) < n:
+        n, p, made = max(n, STRETCH + 4096), int(PRIME), []
+        for base in (BASE2, pow(BASE2, -1, p)):
+            out = np.ones(1, np.uint64)
+            while len(out) < n:
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), p)) % PRIME])
+            made.append(out)
+        _residues[:] = made
+    return _residues[0], _residues[1]
+
+
 def _sliding(x: np.ndarray, w: int, ufunc: np.ufunc, pad) -> np.ndarray:
     """``ufunc`` over every ``w`` neighbours of ``x``: len(x) - w + 1 values."""
     n = len(x)
@@ -58,6 +80,18 @@ class Hashes:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
+class SecondHashes:
+    """As ``Hashes``, by a polynomial modulo a prime: strings that collide there do not collide here for that reason."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        up, self.down = _pow2(len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTE2[raw] * up[: len(raw)] % PRIME, out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) % PRIME * self.down[start] % PRIME
+
+
 def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, Hashes, np.ndarray]:
     """Positions and hashes of the ``gram``-byte strings that are least in some ``length``-byte string of a text.
 
@@ -111,108 +145,6 @@ def _stretches(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[i
         yield here, part, np.array([0, len(part)])
 
 
-class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of a text with sampled run ends.
-
-    Suffixes are told apart to a depth of at least ``length`` bytes (8 or more), which is all
-    that matches of that length ask for.
-    """
-
-    def __init__(self, text: np.ndarray, length: int) -> None:
-        n = len(text)
-        self.n, self.length = n, length
-        # prefix doubling from 8-byte words
-        padded = np.concatenate([text, np.zeros(8, np.uint8)])
-        word = np.zeros(n, np.uint64)
-        for j in range(8):
-            word = (word << np.uint64(8)) | padded[j : j + n]
-        rank = self._ranks(word)
-        depth, half = 8, rank
-        half_depth = 8
-        while depth < length:
-            if depth * 2 > length:
-                half, half_depth = rank, depth
-            nxt = np.zeros(n, np.int64)
-            nxt[: max(n - depth, 0)] = rank[depth:] + 1
-            rank = self._ranks((rank << 32) | nxt)
-            depth *= 2
-        # among equal deep prefixes the order is that of the text
-        sa = np.sort((rank << 32) | np.arange(n)) & 0xFFFFFFFF
-        tail = np.full(n, -1, np.int64)
-        tail[: max(n - (length - half_depth), 0)] = half[length - half_depth :]
-        same = np.zeros(n, bool)
-        same[1:] = (half[sa[1:]] == half[sa[:-1]]) & (tail[sa[1:]] == tail[sa[:-1]])
-        self.class_of = (np.cumsum(~same) - 1).astype(np.int32)
-        self.isa = np.empty(n, np.int64)
-        self.isa[sa] = np.arange(n)
-        # runs of the transform; ties beyond the depth are in text order, so a run also ends where its rows' predecessors part
-        bwt, back = text[sa - 1], self.isa[sa - 1]
-        first = np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (back[1:] != back[:-1] + 1)])
-        self.run_start = np.flatnonzero(first)
-        self.run_head = bwt[self.run_start]
-        self.sample_first, self.sample_last = sa[self.run_start], sa[np.append(self.run_start[1:], n) - 1]
-        self.run_to = self.isa[self.sample_first - 1]
-        # which run and which class of equal strings a row is in, so that a step is a lookup, not a search
-        self.run_of = (np.cumsum(first) - 1).astype(np.int32)
-
-    @staticmethod
-    def _ranks(keys: np.ndarray) -> np.ndarray:
-        """Dense ranks; equal keys get one rank."""
-        order = np.argsort(keys)
-        ordered = keys[order]
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
-        return rank
-
-    def back(self, row: np.ndarray) -> np.ndarray:
-        """Rows of the suffixes that start one byte earlier (LF by runs)."""
-        run = self.run_of[row]
-        return self.run_to[run] + row - self.run_start[run]
-
-    def matching_classes(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Stream the pieces [start, end) right to left, all in step: (piece numbers, places, classes).
-
-        Two places have one class exactly if the next ``length`` bytes are equal: their rows lie
-        between the same borders of common prefixes shorter than that.
-        """
-        piece = np.flatnonzero(ends - starts >= self.length)
-        place = ends[piece] - self.length
-        row = self.isa[place] if len(piece) else place
-        while len(piece):
-            yield piece, place, self.class_of[row]
-            go = place > starts[piece]
-            piece, row, place = piece[go], row[go], place[go] - 1
-            row = self.back(row)
-
-
-def repeated(contexts: list[bytes], order: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(context, from, to) of the bytes covered by a ``length``-byte string that also starts earlier in some context.
-
-    ``order`` ranks the documents, ``at`` is where each context starts in its document; contexts
-    of one document may overlap, and a string is no repetition of itself.
-    """
-    sizes = np.array([len(c) for c in contexts])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    index = RunIndex(np.frombuffer(b"".join(contexts), np.uint8), length)
-    parts = list(index.matching_classes(starts, ends))
-    if not parts:
-        return
-    piece, place, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-    rank = (order[piece].astype(np.int64) << 40) + at[piece] + place - starts[piece]
-    first = np.full(kind.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, kind, rank)
-    late = rank > first[kind]
-    piece, where = piece[late], (place - starts[piece])[late]
-    by = np.lexsort((where, piece))
-    piece, where = piece[by], where[by]
-    if len(piece):
-        new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (where[1:] > where[:-1] + length)])
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(piece)) - 1
-        yield from zip(piece[head].tolist(), where[head].tolist(), (where[tail] + length).tolist(), strict=True)
-
-
 def _count_anchors(length: int, gram: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", slice_bytes):
@@ -233,7 +165,7 @@ def _gather(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 _PLACE = "key bigint, whole bigint, id bigint, tag bigint, `at` bigint, `to` bigint"
-_CONTEXT = "key bigint, id bigint, tag bigint, `at` bigint, ctx binary"
+_CONTEXT = "key bigint, id bigint, tag bigint, `at` bigint, fresh boolean, ctx binary"
 
 
 def _joined_spans(tags: np.ndarray, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -255,19 +187,21 @@ def _places(key, whole, ids, tags, start, end) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), hashed, *(pa.array(c) for c in (ids, tags, start, end))], names=["key", "whole", "id", "tag", "at", "to"])
 
 
-def _contexts(length: int, gram: int, slice_bytes: int, crowded, hot, mixed=None):
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - (len(bits).bit_length() + 5))
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _contexts(length: int, gram: int, slice_bytes: int, crowded, hot, mixed=None, big=None, settle: bool = True):
     """Contexts of anchors that occur twice or more; within a slice, equal contexts are settled at once.
 
-    Without ``mixed``, places and hashes; with it, the bytes of contexts whose key it has.
+    Without ``mixed``, places and hashes; with it, the bytes of contexts whose key it has, those
+    of anchors in ``big`` dealt out like those of hot ones.  Without ``settle``, the bytes of all.
     """
 
-    def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-        slot = h >> np.uint64(64 - SLOT_BITS)
-        return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many, very = np.frombuffer(crowded.value, np.uint64), np.frombuffer(hot.value, np.uint64)
-        shown = None if mixed is None else np.frombuffer(mixed.value, np.uint64)
+        shown, vast = (None if x is None else np.frombuffer(x.value, np.uint64) for x in (mixed, big))
         reach = length - gram
         for batch in slices(batches, "__text", slice_bytes):
             raw_all, at_all = flat(batch.column(2))
@@ -275,30 +209,35 @@ def _contexts(length: int, gram: int, slice_bytes: int, crowded, hot, mixed=None
             tags = batch.column(1).to_numpy()
             for base, raw, at in _stretches(raw_all, at_all, length):
                 where, h, hashes, least = anchors(raw, at, length, gram)
-                keep = passes(many, h)
+                keep = _passes(many, h)
                 where, h = where[keep], h[keep]
                 floor, ceiling = led_strings(where, h, least, reach)
                 doc = np.searchsorted(at, where, side="right") - 1
-                is_hot = passes(very, h)
+                newly = np.zeros(len(h), bool) if vast is None else _passes(vast, h) & ~_passes(very, h)
+                is_hot = _passes(very, h) | newly
                 # string starts of each row: all that the anchor leads, or a group of SPLIT of them for hot anchors
                 c = ~is_hot
-                rows = [(where[c], doc[c], h[c], where[c] - reach, where[c], floor[c], ceiling[c])]
-                w, d, x, f, u = where[is_hot], doc[is_hot], h[is_hot], floor[is_hot], ceiling[is_hot]
+                rows = [(where[c], doc[c], h[c], where[c] - reach, where[c], floor[c], ceiling[c], newly[c])]
+                w, d, x, f, u, v = where[is_hot], doc[is_hot], h[is_hot], floor[is_hot], ceiling[is_hot], newly[is_hot]
                 for g in range(0, reach + 1, SPLIT):
-                    rows.append((w, d, x, w - reach + g, np.minimum(w - reach + g + SPLIT - 1, w), f, u))
-                w, d, x, lo, hi, f, u = (np.concatenate(c) for c in zip(*rows, strict=True))
+                    rows.append((w, d, x, w - reach + g, np.minimum(w - reach + g + SPLIT - 1, w), f, u, v))
+                w, d, x, lo, hi, f, u, v = (np.concatenate(c) for c in zip(*rows, strict=True))
                 # hot rows are keyed by the bytes that all of their strings share, all others by their anchor;
                 # where a text's end cuts the strings short, those bytes still lie within it
                 inside = np.maximum(lo, f) <= np.minimum(hi, u)
-                w, d, x, lo, hi, f, u = (c[inside] for c in (w, d, x, lo, hi, f, u))
+                w, d, x, lo, hi, f, u, v = (c[inside] for c in (w, d, x, lo, hi, f, u, v))
                 if not len(w):
                     continue
-                key = np.where(passes(very, x), mix(hashes.of(np.minimum(hi, len(raw)), np.minimum(lo + length, len(raw))) + (w - hi).astype(np.uint64)), x)
+                key = np.where(v | _passes(very, x), mix(hashes.of(np.minimum(hi, len(raw)), np.minimum(lo + length, len(raw))) + (w - hi).astype(np.uint64)), x)
                 lo, hi = np.maximum(lo, f), np.minimum(hi, u)
                 end = hi + length
+                if not settle:
+                    yield from _bytes(raw, base - at[d] + lo, lo, end, key, ids[d], tags[d], v)
+                    continue
                 whole = mix(hashes.of(lo, end) + (end - lo).astype(np.uint64)) ^ mix(key + (w - lo).astype(np.uint64))
+                whole = mix(whole ^ mix(SecondHashes(raw).of(lo, end)))
                 by = np.lexsort((lo - at[d], tags[d], ids[d], whole))
-                w, d, lo, end, key, whole = w[by], d[by], lo[by], end[by], key[by], whole[by]
+                w, d, lo, end, key, whole, v = w[by], d[by], lo[by], end[by], key[by], whole[by], v[by]
                 first = np.concatenate([[True], whole[1:] != whole[:-1]])
                 start, to = base + lo - at[d], base + end - at[d]
                 f = np.flatnonzero(first)
@@ -306,86 +245,85 @@ def _contexts(length: int, gram: int, slice_bytes: int, crowded, hot, mixed=None
                     yield _joined_spans(tags[d[~first]], ids[d[~first]], start[~first], to[~first])
                     yield _places(key[f], whole[f], ids[d[f]], tags[d[f]], start[f], to[f])
                     continue
-                f = f[passes(shown, key[f])]
-                for i in range(0, len(f), 20000):
-                    g = f[i : i + 20000]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[g].astype(np.int64)), pa.array(ids[d[g]]), pa.array(tags[d[g]]), pa.array(start[g]), _gather(raw, lo[g], end[g])], names=["key", "id", "tag", "at", "ctx"])
+                # what is dealt out only now has not been settled, so all of it goes on
+                f = np.flatnonzero(v | (first & _passes(shown, key)))
+                yield from _bytes(raw, start[f], lo[f], end[f], key[f], ids[d[f]], tags[d[f]], v[f])
 
     return run
 
 
+def _bytes(raw, start, lo, end, key, ids, tags, fresh) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(key), 20000):
+        g = slice(i, i + 20000)
+        yield pa.RecordBatch.from_arrays([pa.array(key[g].astype(np.int64)), pa.array(ids[g]), pa.array(tags[g]), pa.array(start[g]), pa.array(fresh[g]), _gather(raw, lo[g], end[g])], names=["key", "id", "tag", "at", "fresh", "ctx"])
+
+
 def _settle():
-    """From places sorted by key, hash and order: spans of all but the first of equal contexts, and the keys of several."""
+    """From places sorted by key, hash and order: spans of all but the first of equal contexts, and how often each key turns to another context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, hash, tag and place of the row before; whether its key has been reported
+        last = None  # key, hash, tag and place of the row before
         for batch in batches:
             settled = batch.column(1).is_null()
             done = batch.filter(settled)
             batch = batch.filter(pc.invert(settled))
             key, whole, _, tag, at, to = (c.to_numpy() for c in batch.columns)
             n = len(key)
+            keys = turns = again = np.zeros(0, np.int64)
             if n:
-                prior = last or (key[0] - 1, 0, 0, 0, False)
+                prior = last or (key[0] - 1, 0, 0, 0)
                 before = lambda c, v: np.concatenate([[v], c[:-1]])
                 same_key = key == before(key, prior[0])
                 same = same_key & (whole == before(whole, prior[1]))
                 same_place = same & (tag == before(tag, prior[2])) & (at == before(at, prior[3]))
                 again = np.flatnonzero(same & ~same_place)
-                other = same_key & ~same
-                keys = np.unique(key[other])
-                if prior[4] and len(keys):
-                    keys = keys[keys != prior[0]]
-                reported = bool(other[key == key[-1]].any()) or (prior[4] and key[-1] == prior[0])
-                last = (key[-1], whole[-1], tag[-1], at[-1], reported)
-            else:
-                again, keys = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            tags = pa.concat_arrays([done.column(3), pa.array(tag[again] if n else [], pa.int64()), pa.nulls(len(keys), pa.int64())])
-            starts = pa.concat_arrays([done.column(4), pa.array(at[again] if n else [], pa.int64()), pa.nulls(len(keys), pa.int64())])
-            ends = pa.concat_arrays([done.column(5), pa.array(to[again] if n else [], pa.int64()), pa.nulls(len(keys), pa.int64())])
-            marks = pa.concat_arrays([pa.nulls(len(tags) - len(keys), pa.int64()), pa.array(keys, pa.int64())])
-            yield pa.RecordBatch.from_arrays([tags, starts, ends, marks], names=["tag", "s", "e", "key"])
+                keys, turns = np.unique(key[same_key & ~same], return_counts=True)
+                last = (key[-1], whole[-1], tag[-1], at[-1])
+            spans = [pa.concat_arrays([done.column(j), pa.array(c[again] if n else [], pa.int64()), pa.nulls(len(keys), pa.int64())]) for j, c in ((3, tag), (4, at), (5, to))]
+            marks = [pa.concat_arrays([pa.nulls(len(spans[0]) - len(keys), pa.int64()), pa.array(c.astype(np.int64))]) for c in (keys, turns)]
+            yield pa.RecordBatch.from_arrays([*spans, *marks], names=["tag", "s", "e", "key", "turns"])
 
     return run
 
 
-def _mark(length: int):
-    """Spans to remove, from contexts sorted by key, bytes and order, equal ones having been settled."""
+def _mark(length: int, settle: bool = True):
+    """Spans to remove, from contexts sorted by key, bytes and order; of equal ones the first goes to the index, and the others, unless settled before, are marked whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # distinct contexts of whole groups, to be indexed together
+        held: list[list[tuple]] = []  # distinct contexts of whole groups, to be searched together
         size, group, last_key, last_ctx = 0, [], None, None
 
-        def index() -> Iterator[pa.RecordBatch]:
+        def search() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
             if held:
-                held.sort(key=lambda r: (r[0], r[1], r[2]))
-                docs = {k: i for i, k in enumerate(dict.fromkeys((r[0], r[1]) for r in held))}
-                order = np.array([docs[r[0], r[1]] for r in held], np.int64)
-                at = np.array([r[2] for r in held], np.int64)
-                found = list(repeated([r[3] for r in held], order, at, length))
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([held[p][1] for p, _, _ in found], pa.int64()), pa.array([int(at[p]) + a for p, a, _ in found], pa.int64()), pa.array([int(at[p]) + b for p, _, b in found], pa.int64())],
-                        names=["tag", "s", "e"],
-                    )
+                rows = [r for g in held for r in sorted(g, key=lambda r: r[:3])]
+                numbers = np.repeat(np.arange(len(held)), [len(g) for g in held])
+                owner, s, e = late_spans([r[3] for r in rows], numbers, length)
+                if len(owner):
+                    tag, at = (np.array([r[j] for r in rows], np.int64)[owner] for j in (1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(tag), pa.array(at + s), pa.array(at + e)], names=["tag", "s", "e"])
             held, size = [], 0
 
         for batch in batches:
-            for key, i, tag, at, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            again: list[tuple] = []
+            for key, i, tag, at, fresh, ctx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != last_key:
                     if len(group) > 1:
-                        held += group
+                        held.append(group)
                         size += sum(len(g[3]) for g in group)
                         if size > INDEX_BYTES:
-                            yield from index()
+                            yield from search()
                     last_key, group = key, [(i, tag, at, ctx)]
-                elif ctx != last_ctx:
+                elif ctx != last_ctx or not settle:
                     group.append((i, tag, at, ctx))
+                elif fresh:
+                    again.append((tag, at, at + len(ctx)))
                 last_ctx = ctx
+            if again:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*again, strict=True)], names=["tag", "s", "e"])
         if len(group) > 1:
-            held += group
-        yield from index()
+            held.append(group)
+        yield from search()
 
     return run
 
@@ -418,20 +356,33 @@ def _cut_out():
     return run
 
 
-def _bitmaps(rows: DataFrame, key: str, kinds: dict[str, Column]) -> list[bytes]:
-    """Bitmaps of the slots of ``key``, one for each kind of row; their size is fixed by SLOT_BITS."""
-    slot = F.shiftrightunsigned(key, 64 - SLOT_BITS)
+def _bitmaps(rows: DataFrame, count: int, key: str, kinds: dict[str, Column]) -> list[bytes]:
+    """Bitmaps of the slots of ``key``, one for each kind of the ``count`` rows, sized by that and at most 2^SLOT_BITS."""
+    bits = max(12, min(SLOT_BITS, count.bit_length() + SPARE_BITS))
+    slot = F.shiftrightunsigned(key, 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     words = rows.groupBy(F.shiftrightunsigned(slot, 6).alias("w")).agg(*[F.bit_or(F.when(test, bit).otherwise(F.lit(0).cast("long"))).alias(kind) for kind, test in kinds.items()]).toArrow()
     out = []
     for kind in kinds:
-        bits = np.zeros(1 << (SLOT_BITS - 6), np.int64)
-        bits[words.column("w").to_numpy()] = words.column(kind).to_numpy()
-        out.append(bits.tobytes())
+        words_of = np.zeros(1 << (bits - 6), np.int64)
+        words_of[words.column("w").to_numpy()] = words.column(kind).to_numpy()
+        out.append(words_of.tobytes())
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 100, gram: int = 40, slice_bytes: int = STRETCH, hot_share: float = HOT_SHARE, hot_count: int = HOT) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    length: int = 100,
+    gram: int = 40,
+    slice_bytes: int = STRETCH,
+    hot_share: float = HOT_SHARE,
+    hot_count: int = HOT,
+    big: int = BIG,
+    settle: bool = True,
+) -> DataFrame:
     """One row per row: ``id_col``, n_bytes, spans (start, end of each maximal removed run), kept (binary).
 
     A byte goes if a string of ``length`` bytes covers it that also starts earlier: in a row with
@@ -447,33 +398,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        but the earliest are marked whole, within a slice there and then, so a copied text sends
        one context a slice, not one a copy.  The strings of an anchor with more than ``hot_count``
        occurrences and ``hot_share`` of them all are dealt out in groups of SPLIT, keyed by the
-       bytes they share, so no key gathers a passage that a third of the documents hold.
-    3. Keys that have several distinct contexts send their bytes.  Distinct contexts are indexed,
-       some megabytes at a time, by a run-compressed Burrows-Wheeler transform with sampled run
-       ends.  All contexts stream through it right to left in step; places whose rows lie within
-       one border of common prefixes of ``length`` bytes match, and all but the earliest are marked.
+       bytes they share, so no key gathers a passage that a third of the documents hold.  ``settle``
+       turned off skips this step: the index then answers for equal contexts as well.
+    3. Keys that have several distinct contexts send their bytes; a key with more than ``big`` of
+       them has its strings dealt out like those of hot anchors.  Within a key, a run-length index
+       holds earlier contexts (run heads and starts, text positions sampled at run ends), and the
+       matching statistics of later ones stream through it: where they reach ``length``, the
+       bytes go (see ``rindex.late_spans``).  Some megabyte of whole keys is searched together.
     4. Marks are merged by document and cut out.
 
-    Three bitmaps of 2^SLOT_BITS slots are all that is collected and broadcast; a slot shared by
-    chance lets an anchor pass in vain, never drops one.  Equality of whole contexts is judged by
-    64-bit hashes of two kinds, that of the strings within them by bytes.  Rows are told apart by their
-    place in the scan, so ``docs`` should read a written table.  An empty table gives no rows.
+    Three bitmaps of at most 2^SLOT_BITS slots are all that is collected and broadcast; their size
+    follows the counts, and a slot shared by chance lets an anchor pass in vain, never drops
+    one.  Equality of whole contexts is judged by two unrelated hashes mixed to 64 bits, that of
+    the strings within them by bytes.  Rows are told apart by their place in the scan, so ``docs``
+    should read a written table.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("tag"), F.col(text_col).alias("__text"))
     seen = Observation()
-    counted = base.select("__text").mapInArrow(_count_anchors(length, gram, slice_bytes), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    counts = cut(counted.observe(seen, F.sum("n").alias("all")).where("n > 1"), "repeat-anchors")
+    counted = base.select("__text").mapInArrow(_count_anchors(length, gram, slice_bytes), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = cut(counted.observe(seen, F.sum("n").alias("all"), F.count("*").alias("rows")), "repeat-anchors")
     very = F.col("n") > max(hot_count, hot_share * (seen.get["all"] or 0))
-    crowded, hot = (spark.sparkContext.broadcast(m) for m in _bitmaps(counts, "h", {"many": F.lit(True), "hot": very}))
+    crowded, hot = (spark.sparkContext.broadcast(m) for m in _bitmaps(counts, seen.get["rows"], "h", {"many": F.lit(True), "hot": very}))
     picked = base.select(F.col("__id").cast("long").alias("id"), "tag", "__text")
-    places = picked.mapInArrow(_contexts(length, gram, slice_bytes, crowded, hot), _PLACE)
-    dealt = places.repartition("key").sortWithinPartitions("key", "whole", "id", "tag", "at")
-    settled = cut(dealt.mapInArrow(_settle(), "tag bigint, s bigint, e bigint, key bigint"), "repeat-settled")
-    mixed = spark.sparkContext.broadcast(_bitmaps(settled.where("key is not null"), "key", {"mixed": F.lit(True)})[0])
-    contexts = picked.mapInArrow(_contexts(length, gram, slice_bytes, crowded, hot, mixed), _CONTEXT)
+    if settle:
+        places = picked.mapInArrow(_contexts(length, gram, slice_bytes, crowded, hot), _PLACE)
+        dealt = places.repartition("key").sortWithinPartitions("key", "whole", "id", "tag", "at")
+        settled = cut(dealt.mapInArrow(_settle(), "tag bigint, s bigint, e bigint, key bigint, turns bigint"), "repeat-settled")
+        turning = settled.where("key is not null").groupBy("key").agg(F.sum("turns").alias("turns"))
+        kinds = {"mixed": F.lit(True), "big": F.col("turns") >= big}
+        mixed, vast = (spark.sparkContext.broadcast(m) for m in _bitmaps(turning, turning.count(), "key", kinds))
+        contexts = picked.mapInArrow(_contexts(length, gram, slice_bytes, crowded, hot, mixed, vast), _CONTEXT)
+    else:
+        contexts = picked.mapInArrow(_contexts(length, gram, slice_bytes, crowded, hot, settle=False), _CONTEXT)
     grouped = contexts.repartition("key").sortWithinPartitions("key", "ctx", "id", "tag", "at")
-    marks = grouped.mapInArrow(_mark(length), "tag bigint, s bigint, e bigint").union(settled.where("key is null").select("tag", "s", "e"))
+    marks = grouped.mapInArrow(_mark(length, settle), "tag bigint, s bigint, e bigint")
+    if settle:
+        marks = marks.union(settled.where("key is null").select("tag", "s", "e"))
     spans = marks.groupBy("tag").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     joined = base.join(spans, "tag", "left").select("__id", "__text", "found")
     kind = joined.schema[0].dataType.simpleString()
