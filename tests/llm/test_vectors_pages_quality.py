@@ -35,6 +35,34 @@ def test_topk(table):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vector_topk(few, "true").collect()) == brute_topk(rows[:3], lambda i: True, 5)
 
 
+def test_topk_reads_few_exact_vectors(table, monkeypatch):
+    """Cells alone rule out nearly all candidates, copies count as their few smallest ids, and a huge component disturbs its own row only."""
+    from tilewright.llm import vector_topk as v
+
+    monkeypatch.setattr(v, "BLOCK", 256)
+    kept, plain = {}, v.cut
+    monkeypatch.setattr(v, "cut", lambda df, label: kept.setdefault(label, []).append(plain(df, label)) or kept[label][-1])
+    rnd = random.Random(4)
+    vec = lambda: [rnd.gauss(0, 1) for _ in range(12)]
+    copy = vec()
+    rows = [(k, copy if k % 3 == 0 else vec()) for k in range(6000)]
+    rows += [(6050, [1e30] * 12), (6051, [-3e30] + [1.0] * 11), (6052, [1e9] * 12), (6100, [1e300] * 12), (6101, [1.7e308] * 12)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vector_topk(table(rows, "vec_id long, embedding array<double>"), "vec_id % 250 = 0 or vec_id > 6049").collect())
+    clamp = lambda s: max(-(1 << 63), min(s, (1 << 63) - 1))
+    flat = lambda s: max(-(10**38) + 1, min(s, 10**38 - 1))
+    usable = [(i, [math.floor(256 * x) for x in e]) for i, e in rows if i != 6101]
+    want = []
+    for i, q in usable:
+        if i % 250 == 0 or i > 6049:
+            best = sorted((-flat(sum(a * b for a, b in zip(q, e))), j) for j, e in usable if j != i)[:5]
+            want += [(i, r + 1, j, clamp(-s)) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    assert kept["topk-exact"][0].count() <= 4000 + 6 + 5
+    read = sum(t.count() for t in kept["topk-read"])
+    assert read < 0.1 * 29 * 4000  # most of them by the query whose scores are all beyond 38 digits
+    assert "cells" in kept["topk-cells"][0].columns and "v" not in kept["topk-cells"][0].columns
+
+
 PAGES = "page_id long, url string, html string, bundle string, offset long"
 
 

@@ -6,21 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import cut
 
-#: Candidate vectors in a block, queries in a block.
+#: Candidate vectors in a block of cells, queries in a block.
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Parts into which the candidates of a block of queries are dealt.
-PARTS = 16
+#: Most blocks of cells in a part, and query blocks that meet a part in one task.
+PART_BLOCKS, TASK_QUERIES = 16, 64
+#: Least number of parts, where there are as many blocks.
+PARTS = 32
 #: Bits of a cell in each dimension.
-CELL_BITS = 6
+CELL_BITS = 7
+#: Whole numbers below this, in no more dimensions than that, have products that 64 bits hold.
+NARROW, NARROW_SIZE = 2.0**24, 1 << 14
+#: Scores are exact below this and equal beyond it.
+LIMIT = 1e38
 
 
-def _usable(vec: str) -> str:
-    return f"{vec} is not null and not exists({vec}, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+def _usable(vec: str, scale: float) -> str:
+    return f"size({vec}) > 0 and not exists({vec}, x -> x is null or isnan(x) or abs({scale}D * x) = double('infinity'))"
 
 
 def approximate(vectors: np.ndarray, bits: int = CELL_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,133 +48,216 @@ def approximate(vectors: np.ndarray, bits: int = CELL_BITS) -> tuple[np.ndarray,
     return number, low, high
 
 
-class TopK:
-    """The best k (score, id) of each query of a block so far; scores are exact whole numbers."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
-        self.ids, self.q, self.k = ids, vectors, k
-        self.largest = float(np.abs(vectors).max(initial=0))
-        self.best_score = [np.zeros(0, np.int64)] * len(ids)
-        self.best_id = [np.zeros(0, np.int64)] * len(ids)
-
-    def add(self, ids: np.ndarray, exact: np.ndarray, number: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        # bounds in doubles, widened by far more than their rounding
-        rows = np.arange(number.shape[1])
-        lo, hi = low.astype(float)[number, rows], high.astype(float)[number, rows]
-        q = self.q.astype(float)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        slack = np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T * 1e-12
-        most, least = up @ hi.T + down @ lo.T + slack, up @ lo.T + down @ hi.T - slack
-        # scores in 64-bit integers, or in integers of any size where those might overflow
-        wide = self.largest * float(np.abs(exact).max(initial=0)) * exact.shape[1] >= 2**62
-        values = exact.astype(object) if wide else exact
-        for i in range(len(self.ids)):
-            own = ids == self.ids[i]
-            scores, found = self.best_score[i], self.best_id[i]
-            floor = float(scores[-1]) if len(scores) >= self.k else -np.inf
-            sure = least[i][~own]
-            if len(sure) >= self.k:
-                floor = max(floor * (1 - np.sign(floor) * 1e-12) if np.isfinite(floor) else floor, np.partition(sure, len(sure) - self.k)[len(sure) - self.k])
-            near = np.flatnonzero((most[i] >= floor) & ~own)
-            near = near[np.argsort(-most[i][near], kind="stable")]
-            at, step = 0, max(64, 4 * self.k)
-            while at < len(near):
-                if len(scores) >= self.k and most[i][near[at]] < scores[-1]:
-                    break  # bounds only fall from here on
-                take = near[at : at + step]
-                at, step = at + step, step * 4
-                scores = np.concatenate([scores, values[take] @ self.q[i]])
-                found = np.concatenate([found, ids[take]])
-                if scores.dtype == object:
-                    order = sorted(range(len(scores)), key=lambda t: (-scores[t], found[t]))[: self.k]
-                else:
-                    order = np.lexsort((found, -scores))[: self.k]
-                scores, found = scores[order], found[order]
-            self.best_score[i], self.best_id[i] = scores, found
-
-
-def _unpack(ids: bytes, values: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, d)
+class Cells:
+    """The cells of a block of candidates; the exact vectors are elsewhere."""
 
+    def __init__(self, nums: np.ndarray, ids: np.ndarray, number: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.nums, self.ids, self.number = nums, ids, number
+        self.middle = low / 2 + high / 2
+        self.half = np.maximum(high - self.middle, self.middle - low)
+        self.most = np.maximum(np.abs(low), np.abs(high)).max(axis=0)
 
-def vector_topk(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vec_col: str = "embedding", *, scale: float = 256.0, k: int = 5) -> DataFrame:
-    """Each query's ``k`` best rows other than itself: query_id, rank (from 1), ``id_col``, score.
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest inner product of each query with each candidate: by its cells' middles, give or take their halves, widened by far more than rounding."""
+        rows = np.arange(self.number.shape[1])
+        size = np.abs(q)
+        with np.errstate(over="ignore", invalid="ignore"):
+            centre, spread = q @ self.middle[self.number, rows].T, size @ self.half[self.number, rows].T
+            spread += (size @ self.most)[:, None] * 1e-11
+            least, most = centre - spread, centre + spread
+        # scores are only told apart up to LIMIT, and so are bounds; what overflows may be anything
+        least[np.isnan(least)], most[np.isnan(most)] = -LIMIT, LIMIT
+        return np.clip(least, -LIMIT, LIMIT * (1 - 1e-9)), np.clip(most, -LIMIT * (1 - 1e-9), LIMIT)
 
-    Components x become floor(scale * x); the score is their integer inner product; ties go to
-    the smaller id.  ``is_query`` is a predicate over ``vectors`` that picks the queries; every
-    usable row is a candidate.  A score beyond 64 bits is an error.  Vectors that are null or hold null or non-finite components, and
-    rows with null ids, take no part; vectors of different lengths never meet.  A row whose id
-    equals the query's counts as the query itself.  An empty table gives an empty result.
-
-    Vectors are packed into blocks of at most BLOCK with cell numbers of CELL_BITS bits in each
-    dimension.  For a block of queries and a block of candidates, bounds from the cells alone
-    give a floor under the kth score; exact vectors are read in order of their upper bounds until
-    the kth result is certain.  Blocks of queries meet blocks of candidates, a stated query set
-    against all rows; a task keeps one list of k per query and block, so what is shuffled to
-    the merge is k rows per query and task.  Nothing is broadcast or collected.
-    """
-    spark = vectors.sparkSession
-    usable = vectors.where(f"{id_col} is not null").where(_usable(vec_col))
-    ints = F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    base = usable.select(F.col(id_col).cast("long").alias("id"), F.expr(is_query).alias("q"), F.size(vec_col).alias("d"), ints.alias("v"))
-    n, nq = base.agg(F.count("*"), F.count_if("q")).first()
-    parts = max(1, -(-n // BLOCK))
-    deal = base.repartition(parts, F.xxhash64("id"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _whole(scale: float):
+    """Vectors as little-endian doubles holding whole numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, q = batch.column(2).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            ids = batch.column(0).to_numpy()
-            for size in np.unique(d[d > 0]):
-                for queries in (False, True):
-                    mine = np.flatnonzero((d == size) & (q if queries else True))
-                    if not len(mine):
-                        continue
-                    values = batch.column(3).take(pa.array(mine)).flatten().to_numpy().reshape(-1, size)
-                    for at in range(0, len(mine), QUERY_BLOCK if queries else BLOCK):
-                        part = slice(at, at + (QUERY_BLOCK if queries else BLOCK))
-                        v = np.ascontiguousarray(values[part])
-                        cells = [b"", b"", b""] if queries else [x.tobytes() for x in approximate(v)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([queries]), pa.array([int(size)], pa.int32()), pa.array([ids[mine[part]].tobytes()]), pa.array([v.tobytes()]), *(pa.array([c]) for c in cells)],
-                            names=["q", "d", "ids", "exact", "cells", "low", "high"],
-                        )
-
-    blocks = cut(deal.mapInArrow(pack, "q boolean, d int, ids binary, exact binary, cells binary, low binary, high binary"), "topk-blocks")
-    # queries of small blocks are few: gather them into full blocks by a second packing
-    count = max(1, -(-nq // QUERY_BLOCK))
-    queries = blocks.where("q").select("d", F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"), F.pmod(F.xxhash64("ids"), F.lit(count)).alias("qb"))
-    queries = queries.groupBy("d", "qb").agg(F.collect_list(F.struct("q_ids", "q_exact")).alias("qs"))
-    queries = cut(queries, "topk-queries").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    sides = blocks.where("not q").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    sides = sides.repartition(min(count * PARTS, 4096), "d", "qb", "part")
-    pairs = sides.join(queries.hint("shuffle_hash"), ["d", "qb", "part"]).select("d", "qb", "qs", "ids", "exact", "cells", "low", "high")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states: dict[tuple[int, int], TopK] = {}
+            lists = batch.column(2)
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            values = np.floor(lists.flatten().to_numpy() * scale) + 0.0  # no negative zero: equal vectors have equal bytes
+            at = np.concatenate([[0], np.cumsum(size)])
+            largest = np.maximum.reduceat(np.abs(values), at[:-1]) if len(size) else np.zeros(0)
+            wide = (largest >= NARROW) | (size > NARROW_SIZE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size.astype(np.int32)), pa.array(wide), _binary(values, at * 8)], names=["id", "q", "d", "wide", "v"])
+
+    return run
+
+
+def _kinds(batch: pa.RecordBatch, *keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The rows of each combination of ``keys``."""
+    rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys], axis=1)
+    for kind in np.unique(rows, axis=0) if len(rows) else ():
+        yield tuple(kind.tolist()), batch.filter(pa.array((rows == kind).all(axis=1)))
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, d)
+
+
+def _blocks(size: int, keys: tuple[int, ...], make):
+    """Rows gathered by ``keys`` across batches into blocks of ``size`` that ``make`` turns into one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for kind, rows in _kinds(batch, *keys):
+                mine = held.setdefault(kind, [])
+                mine.append(rows)
+                while sum(len(r) for r in mine) >= size:
+                    table = pa.Table.from_batches(mine).combine_chunks()
+                    yield make(kind, table.slice(0, size).combine_chunks().to_batches()[0])
+                    mine[:] = table.slice(size).to_batches()
+        for kind, mine in held.items():
+            if mine:
+                yield make(kind, pa.Table.from_batches(mine).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _cell_block(kind: tuple, rows: pa.RecordBatch) -> pa.RecordBatch:
+    """id, d, wide, v, num: the cells of one block."""
+    parts = [x.tobytes() for x in approximate(_matrix(rows.column(3), kind[0]))]
+    nums, ids = rows.column(4).to_numpy().tobytes(), rows.column(0).to_numpy().tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([kind[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in (nums, ids, *parts))], names=["d", "nums", "ids", "cells", "low", "high"])
+
+
+def _query_block(kind: tuple, rows: pa.RecordBatch) -> pa.RecordBatch:
+    """qn, id, d, floor, v: one block of queries, in the columns of the cells."""
+    floors = rows.column(3).fill_null(float("-inf")).to_numpy()
+    found = [rows.column(0).to_numpy().tobytes(), rows.column(1).to_numpy().tobytes(), _matrix(rows.column(4), kind[0]).tobytes(), floors.tobytes(), b""]
+    return pa.RecordBatch.from_arrays([pa.array([kind[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in found)], names=["d", "nums", "ids", "cells", "low", "high"])
+
+
+def _survivors(k: int):
+    """From rows of a part, its cells before its queries: the candidates that the bounds cannot rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, cells = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names) if name != "qs"}
-                d = row["d"]
-                c = np.frombuffer(row["exact"], np.int64).reshape(-1, d)
-                key = d, row["qb"]
-                if key not in states:
-                    got = [_unpack(x["q_ids"], x["q_exact"], d) for x in batch.column(2)[i].as_py()]
-                    q = np.concatenate([x[1] for x in got])
-                    states[key] = TopK(np.concatenate([x[0] for x in got]), q, k)
-                top = states[key]
-                low, high = (np.frombuffer(row[x], np.int64).reshape(-1, d) for x in ("low", "high"))
-                top.add(np.frombuffer(row["ids"], np.int64), c, np.frombuffer(row["cells"], np.uint8).reshape(-1, d), low, high)
-        for top in states.values():
-            for i in range(len(top.ids)):
-                m = len(top.best_id[i])
-                if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, top.ids[i])), pa.array(top.best_id[i]), pa.array(top.best_score[i].astype(np.int64))], names=["query_id", "id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id bigint, id bigint, score bigint")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("id")))), 1, k)
-    # a query's rows come from PARTS tasks, so its list holds PARTS * k entries at most
-    merged = found.groupBy("query_id").agg(best.alias("b"))
-    return merged.select("query_id", F.posexplode("b").alias("p", "x")).select(
-        "query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias(id_col), (-F.col("x.s")).alias("score")
-    )
+                d, nums, ids, body, low, high, part, group, asks = (c[i].as_py() for c in batch.columns)
+                if (part, group) != task:
+                    task, cells = (part, group), {}
+                nums, ids = np.frombuffer(nums, np.int64), np.frombuffer(ids, np.int64)
+                if not asks:
+                    edges = (np.frombuffer(x, np.float64).reshape(-1, d) for x in (low, high))
+                    cells.setdefault(d, []).append(Cells(nums, ids, np.frombuffer(body, np.uint8).reshape(-1, d), *edges))
+                    continue
+                q, floor = np.frombuffer(body, np.float64).reshape(-1, d), np.frombuffer(low, np.float64).copy()
+                found = []
+                for block in cells.get(d, ()):
+                    least, most = block.bounds(q)
+                    own = ids[:, None] == block.ids[None, :]
+                    least[own], most[own] = -np.inf, -np.inf
+                    if least.shape[1] >= k:
+                        floor = np.maximum(floor, np.partition(least, least.shape[1] - k, axis=1)[:, least.shape[1] - k])
+                    r, c = np.nonzero((most >= floor[:, None]) & ~own)
+                    found.append((r, block.nums[c], most[r, c]))
+                if found:
+                    r, num, upper = (np.concatenate(x) for x in zip(*found, strict=True))
+                    keep = upper >= floor[r]
+                    yield pa.RecordBatch.from_arrays([pa.array(nums[r[keep]]), pa.array(num[keep]), pa.array(upper[keep])], names=["qn", "num", "upper"])
+
+    return run
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id, id, d, wide, qv, cv: exact scores, beyond 64 bits saturated and given as decimals too."""
+    for batch in batches:
+        for (d, wide), rows in _kinds(batch, 2, 3):
+            q, c = _matrix(rows.column(4), d), _matrix(rows.column(5), d)
+            if wide:
+                exact = [sum(int(x) * int(y) for x, y in zip(a, b)) for a, b in zip(q.tolist(), c.tolist(), strict=True)]
+                score = pa.array([max(-(1 << 63), min(x, (1 << 63) - 1)) for x in exact], pa.int64())
+                big = pa.array([max(-(10**38) + 1, min(x, 10**38 - 1)) for x in exact], pa.decimal128(38, 0))
+            else:
+                score = pa.array((q.astype(np.int64) * c.astype(np.int64)).sum(axis=1))
+                big = pa.nulls(len(rows), pa.decimal128(38, 0))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), score, big], names=["query_id", "id", "score", "big"])
+
+
+_BLOCK = "d int, nums binary, ids binary, cells binary, low binary, high binary"
+
+
+def vector_topk(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vec_col: str = "embedding", *, scale: float = 256.0, k: int = 5) -> DataFrame:
+    """Each query's ``k`` best rows other than itself: query_id, rank (from 1), ``id_col``, score.
+
+    Components x become floor(scale * x), as doubles; the score is their integer inner product;
+    ties go to the smaller id.  ``is_query`` is a predicate over ``vectors`` that picks the
+    queries; every usable row is a candidate.  Vectors that are null, empty or hold components
+    that are null or not finite (after scaling), and rows with null ids, take no part; vectors of
+    different lengths never meet.  A row whose id equals the query's counts as the query itself,
+    and rows equal in id and vector count once.  Scores are compared exactly up to 38 digits; one
+    beyond 64 bits is returned as the nearest 64-bit number.  An empty table gives an empty result.
+
+    1. Of rows with equal vectors only the k + 1 smallest ids can be among anyone's best, so only
+       they become candidates, however many copies there are.
+    2. The exact vectors are written as one table, their cells of CELL_BITS bits in each
+       dimension, BLOCK vectors a row, as another.  Vectors with huge components have blocks of
+       their own.
+    3. Blocks of cells form parts; blocks of queries go to each part.  Lower bounds give a floor
+       under the kth score; candidates whose upper bound reaches it survive.  Parts are scanned
+       in rounds of four times as many each, and a round starts from the floors of the last, so
+       survivors stay in proportion to k, not to the number of parts.
+    4. Of a round's survivors, exact vectors are read for the 2 * k with the greatest upper bounds,
+       and then for those whose bound still reaches the kth score found: no other can change it.
+
+    What is shuffled is the vectors twice, the queries once a part, and two vectors a surviving
+    pair.  Nothing is broadcast; only counts are collected.
+    """
+    usable = vectors.where(f"{id_col} is not null").where(_usable(vec_col, scale))
+    raw = usable.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.expr(is_query), F.lit(False)).alias("q"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    rows = cut(raw.mapInArrow(_whole(scale), "id bigint, q boolean, d int, wide boolean, v binary").distinct(), "topk-rows")
+    first_ids = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = rows.withColumn("rn", first_ids).where(F.col("rn") <= k + 1).select("id", "d", "wide", "v")
+    exact = cut(few.withColumn("num", F.monotonically_increasing_id()), "topk-exact")
+    queries = cut(rows.where("q").select("id", "d", "wide", "v").withColumn("qn", F.monotonically_increasing_id()), "topk-queries")
+    cells = cut(exact.mapInArrow(_blocks(BLOCK, (1, 2), _cell_block), _BLOCK), "topk-cells")
+    blocks, asked = cells.count(), queries.count()
+    parts = max(1, min(blocks, PARTS), -(-blocks // PART_BLOCKS))
+    groups = max(1, -(-asked // (QUERY_BLOCK * TASK_QUERIES)))
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("nums"), F.lit(parts)).cast("int"))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        candidates = exact.select("num", "id", "d", F.col("wide").alias("cw"), F.col("v").alias("cv")).hint("merge")
+        asking = queries.select("qn", F.col("id").alias("query_id"), F.col("wide").alias("qw"), F.col("v").alias("qv")).hint("merge")
+        both = pairs.join(candidates, "num").join(asking, "qn").select("query_id", "id", "d", (F.col("cw") | F.col("qw")).alias("wide"), "qv", "cv")
+        return both.mapInArrow(_scores, "query_id bigint, id bigint, score bigint, big decimal(38,0)")
+
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("big", F.col("score").cast("decimal(38,0)")).desc(), "id")
+
+    def top(found: DataFrame) -> DataFrame:
+        return cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "topk-best")
+
+    def with_floor(pairs: DataFrame, best: DataFrame | None, id_of: str) -> DataFrame:
+        """``pairs`` with the query's kth score, as a double no greater than it, if it has one."""
+        if best is None:
+            return pairs.withColumn("floor", F.lit(None).cast("double"))
+        kth = F.coalesce("big", "score").cast("double")
+        floors = best.where(F.col("rank") == k).select(F.col("query_id").alias(id_of), (kth - F.abs(kth) * 1e-12).alias("floor"))
+        return pairs.join(floors.hint("merge"), id_of, "left")
+
+    best, low, high = None, 0, max(1, parts // 16)
+    while low < parts:
+        asks = with_floor(queries, best, "id").select("qn", "id", "d", "floor", "v").repartition(max(1, -(-asked // (4 * QUERY_BLOCK))))
+        asks = asks.mapInArrow(_blocks(QUERY_BLOCK, (2,), _query_block), _BLOCK).withColumn("part", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        asks = asks.withColumn("group", F.pmod(F.xxhash64("nums"), F.lit(groups)).cast("int")).withColumn("asks", F.lit(True))
+        held = cells.where(F.col("part").between(low, high - 1)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("asks", F.lit(False))
+        dealt = held.union(asks).repartition(min((high - low) * groups, 1 << 14), "part", "group").sortWithinPartitions("part", "group", "asks")
+        bounds = cut(dealt.mapInArrow(_survivors(k), "qn bigint, num bigint, upper double"), "topk-bounds")
+        ranked = bounds.withColumn("place", F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("upper"), "num")))
+        leading = cut(ranked.where(F.col("place") <= 2 * k).select("qn", "num"), "topk-read")
+        found = score(leading)
+        best = top(found if best is None else found.union(best.select(found.columns)))
+        rest = ranked.where(F.col("place") > 2 * k).join(queries.select("qn", F.col("id").alias("query_id")).hint("merge"), "qn")
+        rest = cut(with_floor(rest, best, "query_id").where("floor is null or upper >= floor").select("qn", "num"), "topk-read")
+        best = top(score(rest).union(best.select("query_id", "id", "score", "big")))
+        low, high = high, min(parts, high * 5)
+    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
