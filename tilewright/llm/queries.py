@@ -89,7 +89,8 @@ sizes AS (SELECT s, count(*) AS n FROM d GROUP BY s),
 rates AS (
   SELECT s, (SELECT sum(n) FROM sizes) * weight / (SELECT sum(weight) FROM sizes JOIN w USING (s)) / n AS rate
   FROM sizes JOIN w USING (s)),
-pmf AS (SELECT s, k, exp(-rate) * rate ** k / factorial(k::INTEGER) AS p FROM rates, range(0, 33) t(k)),
+ks AS (SELECT s, rate, unnest(range(0, (rate + 12 * sqrt(rate) + 41)::BIGINT)) AS k FROM rates WHERE rate > 0),
+pmf AS (SELECT s, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM ks),
 cdf AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM pmf),
 counts AS (SELECT d.doc_id, d.s, count(*) AS copies FROM d JOIN cdf ON d.s = cdf.s AND cdf.c <= d.u GROUP BY ALL),
 copied AS (SELECT d.*, counts.copies::INTEGER AS copies FROM d JOIN counts ON d.doc_id IS NOT DISTINCT FROM counts.doc_id AND d.s = counts.s)
@@ -126,9 +127,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import decompose
+    from .packing import pack_documents
 
-    pieces = decompose(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    pieces = pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
