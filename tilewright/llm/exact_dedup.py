@@ -77,7 +77,9 @@ def exact_dedup(
         light.where("__key is not null").groupBy("__key").agg(F.count("*").alias("__n"), best.alias("__best")).where("__n > 1"),
         "exact-groups",
     )
-    joined = light.join(groups, "__key", "left")
+    # rows proven unique have no key, and would all meet in one task of a join
+    alone = light.where("__key is null").select("*", F.lit(None).cast(groups.schema["__n"].dataType).alias("__n"), F.lit(None).cast(groups.schema["__best"].dataType).alias("__best"))
+    joined = light.where("__key is not null").join(groups, "__key", "left").unionByName(alone)
     return joined.select(
         F.col("__id").alias(id_col),
         F.when(F.col("__n").isNull(), F.col("__id")).otherwise(F.col("__best.id")).alias("keep_id"),
