@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .arrow import slices
+from .runtime import new_path
 
 _worker: dict[str, Ids] = {}
 
@@ -33,31 +34,28 @@ class Ids(dict):
 
 
 def _encoder(path: str):
-    """Texts to little-endian uint32 ids, through a bounded cache of pre-tokens."""
-    split, special, lib = tokens.patterns()["word"].findall, tokens.specials(path), tokens.library(path)
-    added = {t.content: pack("<I", i) for i, t in lib.get_added_tokens_decoder().items()}
+    """Texts to little-endian uint32 ids: through a bounded cache of pre-tokens, or by the library where splitting is not proven."""
+    split, encode_whole = tokens.splitter(path), tokens.whole_ids(path)
+    if split is None:
+        return lambda texts: [np.array(ids, "<u4").tobytes() for ids in encode_whole(texts)]
+    special = tokens.specials(path)
+    added = {t.content: pack("<I", i) for i, t in tokens.library(path).get_added_tokens_decoder().items()}
     if path not in _worker:
         _worker[path] = Ids(path)
     ids = _worker[path]
 
-    def whole(text: str) -> bytes:
-        return np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def piece(text: str) -> bytes:
-        small = text.lower()
-        if tokens.other(small):  # some capitals below the limit have small letters beyond it
-            return whole(text)
-        return b"".join(map(ids.__getitem__, split(small)))
-
     def encode(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if tokens.other(text):
-                out.append(whole(text))
-            elif special and "<" in text:
-                out.append(b"".join(added[p] if k % 2 else piece(p) for k, p in enumerate(special.split(text))))
+            pieces = special.split(text) if special and "<" in text else [text]
+            parts = [split(p) for p in pieces[::2]]
+            if None in parts:
+                out.append(np.array(encode_whole([text])[0], "<u4").tobytes())
+            elif len(parts) == 1:
+                out.append(b"".join(map(ids.__getitem__, parts[0])))
             else:
-                out.append(piece(text))
+                body = [b"".join(map(ids.__getitem__, p)) for p in parts]
+                out.append(body[0] + b"".join(added[a] + b for a, b in zip(pieces[1::2], body[1:], strict=True)))
         ids.bound()
         return out
 
@@ -85,7 +83,7 @@ def decompose(
     and then ``end_id``.  It is cut into pieces of ``longest`` (a power of two) ids and the binary
     decomposition of the remainder, so each piece fills a sequence of its own length exactly:
     sequences never mix documents, need no padding, and pieces of equal length form the bucket
-    named by ``length`` (see ``write_buckets``).  offset is therefore always 0.
+    named by ``length`` (see ``pack_documents``).  offset is therefore always 0.
 
     One map over the scan, no shuffle.  sequence_id is the place in the scan, hence unique, and
     the same again when a task over the same splits is retried.  Memory is bounded by a slice of
@@ -127,4 +125,17 @@ def decompose(
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """Sequences as Parquet, one folder per length: a batch drawn from a folder has equal lengths."""
-    pieces.write.partitionBy("length").parquet(path)
+    pieces.write.partitionBy("length").option("compression", "zstd").parquet(path)
+
+
+def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, folder: str | None = None, **options) -> DataFrame:
+    """The pieces of ``decompose``, written to buckets of equal length in ``folder`` and read back.
+
+    A bucket is a folder of ``folder``, by default a new one of the shared folder; a filter on
+    length reads the files of that bucket alone.
+    """
+    spark = docs.sparkSession
+    pieces = decompose(docs, path, id_col, text_col, **options)
+    folder = folder or new_path(spark, "packed")
+    write_buckets(pieces, folder)
+    return spark.read.schema(pieces.schema).parquet(folder).select(*pieces.columns)

@@ -21,10 +21,13 @@ def whole_tokens(path: str) -> list[str]:
     Merges never cross pre-tokens, so wherever a text is split into such a pre-token it is
     exactly one token.  The proof runs the library over each string of the vocabulary once.
     """
+    kind = tokens.kind_of(path)
+    if kind is None:
+        return []
     lib = tokens.library(path)
     special = {t.content for t in lib.get_added_tokens_decoder().values()}
-    split = tokens.patterns()["byte"].fullmatch
-    strings = [s for s in (lib.decode([i], skip_special_tokens=False) for i in range(lib.get_vocab_size())) if s and s not in special and not tokens.other(s) and split(s)]
+    split = tokens.patterns()[kind].fullmatch
+    strings = [s for s in tokens.vocabulary_strings(path) if s not in special and not tokens.other(s) and split(s)]
     encoded = lib.encode_batch_fast(strings, add_special_tokens=False)
     return [s for s, e in zip(strings, encoded, strict=True) if len(e.ids) == 1]
 
@@ -47,7 +50,10 @@ class Counts(dict):
 
 
 def _counter(path: str, singles: list[str]):
-    split, special, lib = tokens.patterns()["byte"].findall, tokens.specials(path), tokens.library(path)
+    split, whole = tokens.splitter(path), tokens.whole_ids(path)
+    if split is None:
+        return lambda texts: [len(ids) for ids in whole(texts)]
+    special = tokens.specials(path)
     if path not in _worker:
         _worker[path] = Counts(path, singles)
     counts = _worker[path]
@@ -55,12 +61,12 @@ def _counter(path: str, singles: list[str]):
     def count(texts: list[str]) -> list[int]:
         out = []
         for text in texts:
-            if tokens.other(text):
-                out.append(len(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids))
-                continue
             pieces = special.split(text) if special and "<" in text else [text]
-            # every second piece is an added token
-            out.append(len(pieces) // 2 + sum(sum(map(counts.__getitem__, split(p))) for p in pieces[::2]))
+            parts = [split(p) for p in pieces[::2]]  # every second piece is an added token
+            if None in parts:
+                out.append(len(whole([text])[0]))
+            else:
+                out.append(len(pieces) // 2 + sum(sum(map(counts.__getitem__, p)) for p in parts))
         counts.bound()
         return out
 
@@ -70,7 +76,9 @@ def _counter(path: str, singles: list[str]):
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: ``id_col``, n_bytes (UTF-8), n_tokens, as the library encodes the whole text.
 
-    ``path`` names a byte-level BPE file of the tokenizers library that every executor can read.
+    ``path`` names a vocabulary file that every executor can read.  Files of the tokenizers library
+    whose normaliser and pre-tokenizer are among the proven ones (``tokens.PROVEN``) take the
+    shortcut; for any other, and for sentencepiece models, the library encodes whole texts.
     Added tokens inside texts count as the library's default has them, one each; nothing is added
     and nothing truncated.  Pre-tokens among the proven whole tokens count one without merging;
     all others are merged by the library, once per worker and cache generation.

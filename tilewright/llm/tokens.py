@@ -7,8 +7,10 @@ through every one of these characters).  Any other text is left to the library a
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 #: First character that is left to the library.
@@ -37,6 +39,67 @@ def patterns() -> dict[str, re.Pattern]:
     }
 
 
+#: The normaliser and pre-tokenizer sections that the patterns above are proven equal to.
+PROVEN = {
+    "byte": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+}
+
+
+@lru_cache(8)
+def kind_of(path: str) -> str | None:
+    """Which of ``patterns`` splits texts as this vocabulary file says; None if that is not proven, so the library must encode whole texts."""
+    if not path.endswith(".json"):
+        return None
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model = said["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    literal = all(t["content"].startswith("<") and not any(t.get(k) for k in ("normalized", "lstrip", "rstrip", "single_word")) for t in said["added_tokens"])
+    if not (plain and literal) or said.get("post_processor"):
+        return None
+    return next((kind for kind, own in PROVEN.items() if own == (said.get("normalizer"), said.get("pre_tokenizer"))), None)
+
+
+def splitter(path: str) -> Callable[[str], list[str] | None] | None:
+    """A text without added tokens to its pre-tokens, or to None where the library must encode it; no function for unproven files."""
+    kind = kind_of(path)
+    if kind is None:
+        return None
+    find = patterns()[kind].findall
+    if kind == "byte":
+        return lambda text: None if other(text) else find(text)
+
+    def lowered(text: str) -> list[str] | None:
+        small = text.lower()
+        # some capitals below the limit have small letters beyond it
+        return None if other(text) or other(small) else find(small)
+
+    return lowered
+
+
+def whole_ids(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """The library's ids of whole texts, nothing added: tokenizers for .json files, sentencepiece for .model files."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: model.encode(texts, num_threads=1)
+    lib = library(path)
+    lib.no_truncation()
+    lib.no_padding()
+    return lambda texts: [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 @lru_cache(4)
 def library(path: str):
     from tokenizers import Tokenizer
@@ -59,6 +122,20 @@ def _byte_characters() -> list[str]:
     return [chr(b if b in kept else next(rest)) for b in range(256)]
 
 
+def vocabulary_strings(path: str) -> list[str]:
+    """The texts that the entries of a proven vocabulary stand for, without marks of word ends."""
+    lib = library(path)
+    byte = {c: b for b, c in enumerate(_byte_characters())}
+    end = lib.model.end_of_word_suffix or ""
+    out = {}
+    for token in lib.get_vocab(with_added_tokens=False):
+        raw = bytes(byte[c] for c in token.removesuffix(end) if c in byte)
+        text = raw.decode("utf-8", "ignore")
+        if text:
+            out[text] = None
+    return list(out)
+
+
 @lru_cache(4)
 def merger(path: str):
     """The library's own merges, applied to one pre-token."""
