@@ -64,6 +64,29 @@ def test_url_rules(spark, table):
     assert judge_urls(pages.limit(0), rule_table(spark, RULES)).count() == 0
 
 
+def test_url_rules_of_many_shapes(spark, table, monkeypatch):
+    """More label counts and path lengths than are listed, and columns with the names of inner ones."""
+    from tilewright.llm import url_filter
+
+    rules = [(f"{'a.' * (n % 5)}b.c/{'x' * n}", "block" if n % 2 else "allow") for n in range(12)]
+    rows = [(k, f"http://{'a.' * (k % 7)}b.c/{'x' * (k % 13)}", 1, 2, 3, 4) for k in range(91)]
+    pages = table(rows, "page_id long, url string, __url long, __best long, `__key` long, h long")
+    judged = {}
+    for most in (4096, 2):
+        monkeypatch.setattr(url_filter, "MAX_LISTED", most)
+        out = judge_urls(pages, rule_table(spark, rules))
+        assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+        judged[most] = sorted(tuple(r) for r in out.collect())
+    want = []
+    for k, url, *rest in rows:
+        host, path = url[7:].split("/", 1)
+        fits = [(len(r), r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r.split("/")[1])]
+        best = max(fits, default=(0, None, "allow"))
+        want.append((k, url, *rest, host, "/" + path, best[1], best[2]))
+    assert judged[4096] == judged[2] and [r[:8] for r in judged[2]] == [w[:8] for w in sorted(want)]
+    assert [len(r[8] or "") for r in judged[2]] == [len(w[8] or "") for w in sorted(want)]
+
+
 def test_bloom_filter_misses_nothing(spark):
     from pyspark.sql import functions as F
 
@@ -78,12 +101,29 @@ def test_bloom_filter_misses_nothing(spark):
 
 
 def test_poisson_cdf():
-    for rate in (0.1, 1.0, 7.5, 900.0):
-        cdf = poisson_cdf(rate)
-        assert all(a <= b for a, b in zip(cdf, cdf[1:])) and 1 - cdf[-1] < 1e-9
-        mean = sum(1 - x for x in cdf)
+    for rate in (0.1, 1.0, 7.5, 900.0, 1e5, 1e7):
+        first, cdf = poisson_cdf(rate)
+        assert all(a <= b for a, b in zip(cdf, cdf[1:])) and 1 - cdf[-1] < 1e-9 and len(cdf) < 25 * rate**0.5 + 90
+        mean = first + sum(1 - x for x in cdf)
         assert abs(mean - rate) < 1e-6 * max(1, rate)
-    assert poisson_cdf(0) == [1.0]
+        if rate < 1000:
+            at = next(k for k, c in enumerate(cdf, first) if c >= 0.5)
+            assert abs(at - rate) <= 1
+    assert poisson_cdf(0) == (0, [1.0])
+
+
+def test_mixing_of_a_rare_source(table):
+    """A source of one row with a rate of thousands: its copies leave in chunks, each once."""
+    rows = [(k, "big" if k else "rare", "a", "b", "c", "d") for k in range(3000)]
+    docs = table(rows, "doc_id long, source string, `__mixname` string, __s string, __cdf string, __u string")
+    out = mix_sources(docs, {"big": 1.0, "rare": 3.0}, seed=3)
+    assert out.columns == [*docs.columns, "copies", "copy_no", "shuffle_key"]
+    rare = out.where("source = 'rare'").collect()
+    u = int(hashlib.md5(b"3:0").hexdigest()[:13], 16) / 2**52
+    first, cdf = poisson_cdf(3000 * 0.75)
+    n = first + sum(c <= u for c in cdf)
+    assert n > 2000 and sorted(r.copy_no for r in rare) == list(range(1, n + 1))
+    assert {(r.copies, r["__s"], r["__cdf"], r["__u"], r["__mixname"]) for r in rare} == {(n, "b", "c", "d", "a")}
 
 
 def test_mixing(docs, corpus, no_docs):
@@ -98,8 +138,8 @@ def test_mixing(docs, corpus, no_docs):
     u = lambda i: int(hashlib.md5(f"5:{'-' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
     want = Counter()
     for r in corpus:
-        cdf = poisson_cdf(rates[r[3] if r[3] in weights else None])
-        want[r[0], r[1]] += sum(x <= u(r[0]) for x in cdf)
+        first, cdf = poisson_cdf(rates[r[3] if r[3] in weights else None])
+        want[r[0], r[1]] += first + sum(x <= u(r[0]) for x in cdf)
     assert Counter((r.doc_id, r.text) for r in rows) == +want
     keys = [r.shuffle_key for r in rows]
     assert keys == sorted(keys) and set(docs.columns) - {"copies"} <= set(out.columns)

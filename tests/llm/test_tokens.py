@@ -33,6 +33,25 @@ def test_ids_equal_the_library(samples):
     assert packing._encoder(WORD)(samples) == want
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD, public.path("piece_bpe_32k.model")])
+def test_any_file(path, samples, tmp_path):
+    """Counts and ids are the library's for every kind of file, and for one whose splitting is not proven."""
+    import json
+
+    some = [s.replace("\0", "") for s in samples[::7] + samples[-9:]]
+    paths = [path]
+    if path == BYTE:
+        said = json.load(open(BYTE))
+        said["normalizer"] = {"type": "Lowercase"}
+        paths.append(str(tmp_path / "own.json"))
+        json.dump(said, open(paths[1], "w"))
+    for p in paths:
+        want = tokens.whole_ids(p)(some)
+        assert token_counts._counter(p, token_counts.whole_tokens(p))(some) == [len(x) for x in want]
+        assert packing._encoder(p)(some) == [np.array(x, "<u4").tobytes() for x in want]
+    assert [tokens.kind_of(p) for p in paths] == {BYTE: ["byte", None], WORD: ["word"]}.get(path, [None])
+
+
 def test_whole_tokens_are_proven():
     lib = tokens.library(BYTE)
     singles = token_counts.whole_tokens(BYTE)
@@ -82,8 +101,11 @@ def test_packing(docs, corpus, no_docs, tmp_path):
             assert r.start == at and zlib.crc32(bytes(r.ids)) == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
             at += r.length
         assert at == len(ids) and len(found) % len(rows) == 0
-    packing.write_buckets(out, str(tmp_path / "buckets"))
-    assert docs.sparkSession.read.parquet(str(tmp_path / "buckets")).count() == len(seen)
-    assert packing.decompose(no_docs, WORD).count() == 0
+    packed = packing.pack_documents(docs, WORD, folder=str(tmp_path / "buckets"))
+    assert packed.schema.names == out.schema.names and sorted(map(str, packed.collect())) == sorted(map(str, out.collect()))
+    folders = {int(f.name.removeprefix("length=")) for f in (tmp_path / "buckets").glob("length=*")}
+    assert folders == {r.length for r in out.collect()}
+    assert packed.where("length = 2048").select("ids").rdd.map(lambda r: len(r.ids)).distinct().collect() in ([8192], [])
+    assert packing.pack_documents(no_docs, WORD).count() == 0
     with pytest.raises(ValueError):
         packing.decompose(docs, WORD, longest=1000)

@@ -12,10 +12,12 @@ _made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset and all runs on this machine a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tilewright-")
@@ -29,14 +31,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what this application's operators have written to the shared folder, once their results are stored elsewhere."""
-    paths = _made.pop(spark.sparkContext.applicationId, [])
+def made(spark: SparkSession) -> int:
+    """How many tables this application has written so far."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete what this application's operators have written to the shared folder from the ``since``-th table on, but not what ``keep`` reads.
+
+    To be called once all results that read those tables are stored elsewhere.
+    """
+    tables = _made.get(spark.sparkContext.applicationId, [])
+    read = [f.rsplit("/", 1)[0] for f in keep.inputFiles()] if keep is not None else []
+    spared = [p for p in tables[since:] if any(f.endswith(p.rsplit("/", 1)[-1]) for f in read)]
+    gone = [p for p in tables[since:] if p not in spared]
+    tables[since:] = spared
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
+    for p in gone:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-    return len(paths)
+    return len(gone)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
