@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs.  All stages but the last return the columns of documents.
+
+Null and empty texts are scored like any other and go if the classifier rejects them; those that
+stay count as equal to each other for exact copies, have no shingles and so no near copies, and
+are packed as their end id alone.  Null ids and sources are kept.  With no documents every stage
+returns an empty table, with no labels the classifier rejects nothing.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens, each a piece of one document."""
-    pieces = packing.decompose(docs, tokenizer_path("word_bpe_49k.json"))
+    pieces = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -55,7 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        before = runtime.made(spark)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = runtime.cut(docs, f"stage-{k}")
+            runtime.release(spark, before, keep=docs)  # what this stage alone has read
     return docs
