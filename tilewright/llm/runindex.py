@@ -20,11 +20,11 @@ BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np
 #: Most bits of a filter of anchors or keys: this bounds all that is collected and broadcast (16 MB each).
 SLOT_BITS = 27
 #: Slots of a filter for each entry, as a power of two, while SLOT_BITS allow it.
-SPARE_BITS = 4
+SPARE_BITS = 7
 #: An anchor with more than this share of all occurrences, and more than HOT, has its strings dealt out in groups of SPLIT.
 HOT_SHARE, HOT, SPLIT = 1 / 5000, 500, 4
 #: A key with more distinct contexts than this has its strings dealt out in the same way before they are indexed.
-BIG = 4096
+BIG = 1 << 14
 STRETCH = 1 << 20
 #: Bytes of distinct contexts that are searched together.
 INDEX_BYTES = 1 << 20
