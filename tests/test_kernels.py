@@ -127,6 +127,33 @@ def test_dither_keeps_the_mean():
     assert len(np.unique(plain)) == 1 and 0.1 < mixed.mean() < 0.9
 
 
+def test_dither_by_hand():
+    """One row of three equal greys between two entries: the first is matched, what it leaves is bent and moves the next."""
+    grey = np.array([[0xFF646464] * 3], np.uint32).view(np.int32)
+    pal = np.array([0xFF505050, 0xFF808080], np.uint32).view(np.int32)
+    points, (dark, light) = nearest.yiq_array(grey)[0], nearest.yiq_array(pal)
+    want, error = [], 0.0
+    for p in points:
+        y = p[0] + dither._curve(np.array([error * 0.8, 0.0, 0.0, 0.0]))[0]
+        k = int(abs(y - light[0]) < abs(y - dark[0]))
+        want.append(k)
+        error = (y - (dark, light)[k][0]) * 7 / 16
+    assert dither.index_image(grey, pal, RED, 0.8)[0].tolist() == want
+    # an edge: the neighbourhood is far from the pixel, so nothing is passed on and the pixel itself is matched
+    edge = np.array([[0xFF000000] * 2 + [0xFFFFFFFF] * 2], np.uint32).view(np.int32)
+    ends = np.array([0xFF101010, 0xFFF0F0F0], np.uint32).view(np.int32)
+    assert dither.index_image(edge, ends, RED, 1.0)[0].tolist() == [0, 0, 1, 1]
+
+
+def test_dither_matches_the_neighbourhood():
+    """Where surroundings are calm it is their mean that is matched, even before any error has gathered."""
+    px = np.array([[0xFF606060, 0xFF686868, 0xFF606060]], np.uint32).view(np.int32)
+    pal = np.array([0xFF505050, 0xFF666666, 0xFF7C7C7C], np.uint32).view(np.int32)
+    mean = dither.blurred(nearest.yiq_array(px))[0, 0]
+    got = dither.index_image(px, pal, RED, 1e-9)[0, 0]
+    assert got == nearest.nearest_entries(mean[None], nearest.yiq_array(pal), RED)[0][0]
+
+
 def test_merge_tiles():
     base = image(8, 8, 3).ravel()
     flips = np.array([base[np.arange(64) ^ m] for m in tiles.FLIPS])

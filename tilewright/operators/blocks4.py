@@ -10,7 +10,8 @@ from .palette import create_palette, snap15_array
 
 # Mode bits of a block's palette index.
 OPAQUE, INTERPOLATE, ADDRESS = 0x8000, 0x4000, 0x3FFF
-#: A block is drawn from two endpoints if its mean squared error stays within this.
+# A block is drawn from two endpoints if its mean squared error stays within the first; rounds of
+# refinement of the palettes, and most steps that an endpoint climbs.
 ENDPOINT_MSE = 53.0
 REFINEMENTS, CLIMBS = 4, 10
 

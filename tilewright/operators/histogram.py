@@ -76,7 +76,8 @@ def layered_histogram(pixels: DataFrame, reduction: Reduction = Reduction()) ->
 def top_colors(hist: DataFrame, n: int, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """The ``n`` heaviest colours by group; ties go to the smaller rgba.  idx counts from 0."""
     by = Window.partitionBy(*keys).orderBy(F.desc("weight"), "rgba")
-    return hist.withColumn("idx", F.row_number().over(by) - 1).where(F.col("idx") < n)
+    # the filter is on the rank itself, so that each task keeps only its own n before the exchange
+    return hist.withColumn("idx", F.row_number().over(by)).where(F.col("idx") <= n).withColumn("idx", F.col("idx") - 1)
 
 
 def background_moments(pixels: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,16 +87,44 @@ def nearest_expr(rgba: str | Column, palette: Sequence[int], reduction: Reductio
 def nearest_join(pixels: DataFrame, palettes: DataFrame, reduction: Reduction = Reduction(), keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Each distinct colour of a group against its group's palette table (keys, idx, entry): keys, rgba, n, idx, d.
 
-    Colours are counted first, so distances are computed per distinct colour, not per pixel.  A
-    palette has at most 256 entries, so it meets its colours as one array, and the least
-    struct(d, idx) is found row by row: no pair is ever a row, and nothing is aggregated twice.
+    Colours are counted first, so distances are computed per distinct colour, not per pixel.  The
+    colours of a group, which grow with the data, are dealt out by a hash; its palette of at most
+    256 entries goes to each of those parts and comes first there, so every task finds the
+    entries of its colours by vectorised distances, in Arrow batches of any size.  Nothing is
+    broadcast and no pair is ever a row.  Colours of a group without a palette are left out.
     """
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("rgba"), F.lit(tasks)).cast("int")
     seen = pixels.groupBy(*keys, "rgba").agg(F.count("*").alias("n"))
-    arrays = palettes.select(*keys, F.struct("idx", color.yiq("entry").alias("c")).alias("e")).groupBy(*keys).agg(F.collect_list("e").alias("__palette"))
-    point = color.yiq("rgba")
-    found = F.array_min(F.transform("__palette", lambda e: F.struct(color.distance(F.col("__point"), e["c"], reduction).alias("d"), e["idx"].alias("idx"))))
-    near = seen.join(arrays, list(keys)).withColumn("__point", point).withColumn("s", found)
-    return near.select(*keys, "rgba", "n", F.col("s.idx").alias("idx"), F.col("s.d").alias("d"))
+    colors = seen.select(*keys, part.alias("__part"), F.lit(256).alias("idx"), "rgba", "n")
+    entries = palettes.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("__part"), F.col("idx").cast("int"), F.col("entry").cast("int").alias("rgba"), F.lit(0).cast("long").alias("n"))
+    dealt = entries.unionByName(colors).repartition(tasks, *keys, "__part").sortWithinPartitions(*keys, "__part", "idx")
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, palette, index = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            idx, rgba = (batch.column(width + k).to_numpy() for k in (1, 2))
+            marks = batch.select(range(width + 1))
+            # groups are adjacent: they start where any key changes
+            codes = np.stack([pc.fill_null(pc.index_in(c, c.unique()), -1).to_numpy(zero_copy_only=False) for c in marks.columns])
+            starts = np.flatnonzero(np.concatenate([[True], (codes[:, 1:] != codes[:, :-1]).any(axis=0)])) if batch.num_rows else []
+            best, least, found = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+            for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                here = tuple(c[int(s)].as_py() for c in marks.columns)
+                if here != group:
+                    group, palette, index = here, np.zeros(0, np.int64), np.zeros(0, np.int64)
+                first = s + int(np.searchsorted(idx[s:e], 256))
+                if first > s:
+                    palette, index = np.concatenate([palette, rgba[s:first]]), np.concatenate([index, idx[s:first]])
+                if first < e and len(palette):
+                    k, d = nearest_entries(yiq_array(rgba[first:e]), yiq_array(palette), reduction)
+                    best[first:e], least[first:e], found[first:e] = index[k], d, True
+            columns = [*batch.columns[:width], *batch.columns[width + 2 :], pa.array(best), pa.array(least)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "rgba", "n", "idx", "d"]).filter(pa.array(found))
+
+    types = {f.name: f.dataType.simpleString() for f in seen.schema}
+    return dealt.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rgba int, n bigint, idx int, d double")
 
 
 def palette_error(nearest_rows: DataFrame, keys: tuple[str, ...] = ("image_id",), limit: float | None = None, weight: str = "n") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..config import ALPHA_NONE, ALPHA_PALETTE, ALPHA_RESERVE, Reduction
 from ..functions.texture import FORMATS, INDEX_COLORS, TEXEL_BITS
 from .blocks4 import decode_blocks, encode_blocks
-from .dither import _diffused, index_image, index_layers
+from .dither import _diffused, blurred, index_image, index_layers
 from .nearest import differences, rgba_array, yiq_array
 from .palette import create_palette, snap15_array
 
@@ -106,8 +106,9 @@ def diffused15(rgba: np.ndarray, reduction: Reduction, amount: float) -> np.ndar
     around = np.array([(r, g, b) for r in (-1, 0, 1) for g in (-1, 0, 1) for b in (-1, 0, 1)])
     solid = rgba | np.int32(-16777216)
     points, plain = yiq_array(solid), nearest15(solid, reduction)
-    gap = points - every[plain]
-    distance = (gap[..., :3] ** 2) @ np.array(reduction.squares)
+    mean = blurred(points)
+    gap = mean - every[nearest15(rgba_array(mean), reduction)]
+    off = (gap[..., :3] ** 2) @ np.array(reduction.squares)
 
     def find(wanted: np.ndarray) -> int:
         at = int(colors15(rgba_array(wanted[0]))[0])
@@ -120,7 +121,7 @@ def diffused15(rgba: np.ndarray, reduction: Reduction, amount: float) -> np.ndar
             at = int(words[d.argmin()])
 
     clear = ((rgba.astype(np.int64) >> 24) & 255) < 128
-    return _diffused(points[:, :, None], plain, distance, find, lambda k: every[k][None], clear, reduction, amount)
+    return _diffused(points[:, :, None], mean[:, :, None], plain, off, find, lambda k: every[k][None], clear, reduction, amount)
 
 
 def param_of(width: int, height: int, fmt: int, transparent0: bool) -> int:

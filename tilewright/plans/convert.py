@@ -22,6 +22,30 @@ from ..sources import sinks
 FILES = "image_id bigint, name string, data binary"
 
 
+#: Most bytes of a palette or character file that is sent along with a conversion.
+SIDECAR_BYTES = 1 << 20
+
+
+def _content(file: str | bytes) -> bytes:
+    if isinstance(file, bytes):
+        return file
+    with open(file, "rb") as f:
+        return f.read()
+
+
+def with_contents(spark: SparkSession, o: EncodeOptions) -> EncodeOptions:
+    """The same options with the bytes of the files they name, read once through Spark, so that tasks open none."""
+
+    def read(path: str) -> bytes:
+        found = spark.read.format("binaryFile").load(path).where(F.col("length") <= SIDECAR_BYTES).select("content").limit(2).collect()
+        if len(found) != 1:
+            raise ValueError(f"{path}: not one file of at most {SIDECAR_BYTES} bytes")
+        return bytes(found[0].content)
+
+    named = {k: getattr(o, k) for k in ("existing_palette", "existing_chars", "fixed_palette")}
+    return replace(o, **{k: read(v) for k, v in named.items() if isinstance(v, str)})
+
+
 def prepare(px: np.ndarray, key: int | None) -> np.ndarray:
     """The key colour and all transparent pixels become transparent black."""
     out = px.copy()
@@ -71,8 +95,7 @@ def texture_files(px: np.ndarray, base: str, o: EncodeOptions) -> list[tuple[str
         n = 0x8000 if not o.merge_chars else block_colors(px.size)
     fixed = None
     if o.fixed_palette:
-        with open(o.fixed_palette, "rb") as f:
-            fixed = (colors24(np.frombuffer(f.read(), "<u2")) | 0xFF000000).astype(np.uint32).view(np.int32)
+        fixed = (colors24(np.frombuffer(_content(o.fixed_palette), "<u2")) | 0xFF000000).astype(np.uint32).view(np.int32)
     param, texel, pidx, palette = encode_image(px, fmt, o.reduction, n_colors=n, transparent0=clear0, diffuse=o.diffuse, dither_alpha=o.dither_alpha, fixed=fixed, threshold=o.merge_threshold)
     height = 8 << (param >> 23 & 7)
     if o.trim and px.shape[0] != height:
@@ -167,10 +190,8 @@ def background_files(px: np.ndarray, base: str, o: EncodeOptions) -> list[tuple[
     """Files of one background."""
     depth = 4 if o.bg_type == "text4" else 8
     if o.screen_only:
-        with open(o.existing_palette, "rb") as f:
-            words = np.frombuffer(f.read(), "<u2")
-        with open(o.existing_chars, "rb") as f:
-            raw = f.read()
+        words = np.frombuffer(_content(o.existing_palette), "<u2")
+        raw = _content(o.existing_chars)
         from ..operators.texture import unpack_bits
 
         raw += bytes(-len(raw) % (8 * depth))
@@ -184,8 +205,7 @@ def background_files(px: np.ndarray, base: str, o: EncodeOptions) -> list[tuple[
     hi = o.palette_base + o.palettes if o.used_palettes_only else 16
     words = made["palette"][lo:hi] if o.bg_type in ("text4", "affine_ext") else made["palette"][:1]
     if o.existing_palette:
-        with open(o.existing_palette, "rb") as f:
-            old = np.frombuffer(f.read(), "<u2")[: words.size]
+        old = np.frombuffer(_content(o.existing_palette), "<u2")[: words.size]
         flat = words.ravel().copy()
         flat[: len(old)] = np.where(flat[: len(old)] == 0, old, flat[: len(old)])
         words = flat
@@ -198,8 +218,7 @@ def background_files(px: np.ndarray, base: str, o: EncodeOptions) -> list[tuple[
         return _emit(o, base, [("_bmp", grid.astype(np.uint8).tobytes(), 1), ("_pal", palette, 2)])
     data = pack_bits(made["chars"], depth)
     if o.existing_chars:
-        with open(o.existing_chars, "rb") as f:
-            old = f.read()
+        old = _content(o.existing_chars)
         at = (o.char_base or 0) * 8 * depth
         data = old[:at].ljust(at, b"\0") + data + old[at + len(data) :]
     screen = screen_bytes(made["screen"], o.bg_type) if o.screen else None
@@ -250,7 +269,7 @@ def screen_of(px: np.ndarray, chars: np.ndarray, palettes: list[np.ndarray], o:
 
 def convert(images: DataFrame, options: EncodeOptions) -> DataFrame:
     """Files (see FILES) of every image (image_id, name, width, height, px); images are independent of each other."""
-    o = options.checked()
+    o = with_contents(images.sparkSession, options.checked())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -267,7 +286,7 @@ def convert(images: DataFrame, options: EncodeOptions) -> DataFrame:
 
 def convert_layers(images: DataFrame, options: EncodeOptions, group: str = "set_id") -> DataFrame:
     """Palette-swap textures: each group's images share one index image; layers are ordered by name."""
-    o = options.checked()
+    o = with_contents(images.sparkSession, options.checked())
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("name")

@@ -408,7 +408,7 @@ def g7(spark, folder):
     return images.scale(px, sizes, 24, 24)
 
 
-@query("g8_scale_into")
+@query("g8_scale_into", "WITH s AS (" + ORACLES["g7_scale"].replace("* 24", "* 32").replace("range(24)", "range(32)") + f"), f AS (SELECT image_id, a.k AS y, b.k AS x FROM (SELECT DISTINCT image_id FROM ({EVENTS})), range(32) a(k), range(48) b(k)) SELECT f.image_id, f.y::INTEGER AS y, f.x::INTEGER AS x, coalesce(s.rgba, 0)::INTEGER AS rgba FROM f LEFT JOIN s ON s.image_id = f.image_id AND s.y = f.y AND s.x = f.x - 8")
 def g8(spark, folder):
     return images.scale_into(ad.event_pixels(spark, folder), 64, 64, 48, 32, "fit").select("image_id", "y", "x", "rgba")
 
@@ -424,12 +424,6 @@ def c12(spark, folder):
 # -- kernels: palettes, dithering, textures, codecs, files ----------------------------------
 
 
-def _whole_rows(px: DataFrame, width: int) -> DataFrame:
-    """Images without the last row if it is not complete."""
-    rows = px.where(F.col("x") == width - 1).groupBy("image_id").agg((F.max("y") + 1).alias("h"))
-    return files.images_of(px.join(rows, "image_id").where("y < h").drop("h"))
-
-
 @query("c2_palettes")
 def c2(spark, folder):
     return palette.palettes_of(histogram.weighted_histogram(ad.event_pixels(spark, folder)), 16)
@@ -453,7 +447,7 @@ def c7(spark, folder):
 def c8(spark, folder):
     px = ad.event_pixels(spark, folder)
     pal = palette.palettes_of(histogram.weighted_histogram(px), 16).select("image_id", "idx", "entry")
-    return dither.index_images(_whole_rows(px, 64), pal, Reduction(), 0.5)
+    return dither.index_images(files.images_of(px), pal, Reduction(), 0.5)
 
 
 @query("c9_reduce_tiles")
@@ -470,11 +464,23 @@ def j8(spark, folder):
 
 
 def _part_images(spark: SparkSession, folder: str) -> DataFrame:
-    return _whole_rows(ad.part_pixels(spark, folder), 16)
+    return files.images_of(ad.part_pixels(spark, folder))
 
 
 _OWN = "px.rgba"
-_SHOWN = f"WITH px AS ({PARTS}), n AS (SELECT image_id, max(y) AS h FROM px WHERE x = 15 GROUP BY 1) SELECT px.image_id, px.y::INTEGER AS y, px.x::INTEGER AS x, {pack_sql(*(f'(({snap15_sql(_OWN)} >> {8 * k}) & 255)' for k in range(3)), '255')} AS rgba FROM px JOIN n USING (image_id) WHERE px.y <= n.h"
+
+
+
+def _frame_sql(pixels: str, shown: str, absent: str, width: int) -> str:
+    """Every place of every image's rectangle: ``shown`` of its pixel, or ``absent``."""
+    return (
+        f"WITH px AS ({pixels}), n AS (SELECT image_id, max(y) AS h FROM px GROUP BY 1), g AS (SELECT image_id, unnest(range(h::BIGINT + 1)) AS y FROM n), f AS (SELECT image_id, y, unnest(range({width})) AS x FROM g) "
+        f"SELECT f.image_id, f.y::INTEGER AS y, f.x::INTEGER AS x, CASE WHEN px.rgba IS NULL THEN {absent} ELSE {shown} END::INTEGER AS rgba FROM f LEFT JOIN px ON px.image_id = f.image_id AND px.y = f.y AND px.x = f.x"
+    )
+
+
+_SNAPPED = pack_sql(*(f"(({snap15_sql(_OWN)} >> {8 * k}) & 255)" for k in range(3)), "255")
+_SHOWN = _frame_sql(PARTS, _SNAPPED, "0", 16)
 
 
 def _round_trip(fmt: str):
@@ -492,7 +498,23 @@ query("c16_texture_tex4x4")(_round_trip("tex4x4"))  # blocks may be drawn from b
 
 @query("c16_blocks")
 def c16(spark, folder):
-    return texture.encode_textures(_whole_rows(ad.event_pixels(spark, folder), 64), "tex4x4", n_colors=64).select("image_id", "param", F.octet_length("texel").alias("texel_bytes"), F.octet_length("pidx").alias("pidx_bytes"), F.octet_length("palette").alias("palette_bytes"))
+    return texture.encode_textures(files.images_of(ad.event_pixels(spark, folder)), "tex4x4", n_colors=64).select("image_id", "param", F.octet_length("texel").alias("texel_bytes"), F.octet_length("pidx").alias("pidx_bytes"), F.octet_length("palette").alias("palette_bytes"))
+
+
+_FIVE = [f"least(greatest({to5_sql(ch('solid', k))} + (k // {3**k}) % 3 - 1, 0), 31)" for k in range(3)]
+_NEAR15 = (
+    f"WITH p0 AS ({EVENTS}), c AS (SELECT DISTINCT rgba, (rgba | -16777216)::INTEGER AS solid FROM p0 WHERE {ch('rgba', 3)} >= 128), "
+    f"w AS (SELECT rgba, solid, ({_FIVE[0]} | ({_FIVE[1]} << 5) | ({_FIVE[2]} << 10))::INTEGER AS w FROM c, range(27) r(k)), "
+    f"e AS (SELECT rgba, solid, w, ({from15_sql('w')} | -16777216)::INTEGER AS entry FROM w), "
+    f"d AS (SELECT rgba, entry, row_number() OVER (PARTITION BY rgba ORDER BY {distance_sql(yiq_sql('solid'), yiq_sql('entry'))}, w) AS r FROM e) "
+    "SELECT p0.image_id, p0.layer, p0.y, p0.x, coalesce(d.entry, 0)::INTEGER AS rgba FROM p0 LEFT JOIN d ON d.rgba = p0.rgba AND d.r = 1"
+)
+
+
+@query("c13_direct", _frame_sql(_NEAR15, _OWN, "0", 64))
+def c13(spark, folder):
+    made = texture.encode_textures(files.images_of(ad.event_pixels(spark, folder)), "direct")
+    return files.pixels_of(texture.decode_textures(made)).select("image_id", "y", "x", "rgba")
 
 
 @query("c13_direct_diffused")
@@ -503,7 +525,7 @@ def c13_diffused(spark, folder):
 
 @query("c10_background_diffused")
 def c10_diffused(spark, folder):
-    named = _whole_rows(ad.event_pixels(spark, folder), 64).withColumn("name", F.concat(F.lit("bg"), F.col("image_id")))
+    named = files.images_of(ad.event_pixels(spark, folder)).withColumn("name", F.concat(F.lit("bg"), F.col("image_id")))
     made = convert.convert(named, EncodeOptions(bg_type="text4", diffuse=0.5))
     return made.select("image_id", "name", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("h"))
 
@@ -511,7 +533,7 @@ def c10_diffused(spark, folder):
 @query("c21_layers_diffused")
 def c21_diffused(spark, folder):
     px = ad.part_pixels(spark, folder)
-    layers = [_whole_rows(px if k == "a" else px.withColumn("rgba", c.swap_red_blue("rgba")), 16).withColumn("name", F.lit(k)) for k in "ab"]
+    layers = [files.images_of(px if k == "a" else px.withColumn("rgba", c.swap_red_blue("rgba"))).withColumn("name", F.lit(k)) for k in "ab"]
     made = convert.convert_layers(layers[0].unionByName(layers[1]), EncodeOptions(mode="texture", texture_format="palette16", diffuse=0.5), "image_id")
     return made.select("image_id", "name", F.octet_length("data").alias("bytes"), F.sha2("data", 256).alias("h"))
 
@@ -541,6 +563,37 @@ def k1(spark, folder):
     return sinks.write_files(rows, new_folder(spark, "files"))
 
 
+def _read_back(spark: SparkSession, named: DataFrame, label: str) -> DataFrame:
+    """Files (name as <image_id>.<kind>, data) written to a new folder and read again as pixels."""
+    from .workspace import new_folder
+
+    folder = new_folder(spark, label)
+    sinks.write_files(named, folder).write.format("noop").mode("overwrite").save()
+    found = files.read_images(spark, folder).withColumn("image_id", F.regexp_extract("name", r"(\d+)\.[a-z]+$", 1).cast("long"))
+    return files.pixels_of(found).select("image_id", "y", "x", "rgba")
+
+
+_SOLID = pack_sql(*(ch(_OWN, k) for k in range(3)), "255")
+
+
+@query("s11_pnm_files", _frame_sql(EVENTS, _SOLID, "-16777216", 64))
+def s11(spark, folder):
+    im = files.images_of(ad.event_pixels(spark, folder))
+    head = F.encode(F.concat(F.lit("P6\n"), "width", F.lit(" "), "height", F.lit("\n255\n")), "utf-8")
+    body = F.unhex(F.regexp_replace(F.hex("px"), "(.{6}).{2}", "$1"))
+    return _read_back(spark, im.select(F.concat("image_id", F.lit(".ppm")).alias("name"), F.concat(head, body).alias("data")), "pnm")
+
+
+@query("s6_tga_files", _frame_sql(EVENTS, _OWN, "0", 64))
+def s6(spark, folder):
+    im = files.images_of(ad.event_pixels(spark, folder))
+    word = lambda c: F.concat(F.lpad(F.hex(F.col(c) % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col(c) / 256)), 2, "0"))
+    # no name, true colour, 32 bits, eight of them alpha, top row first
+    head = F.concat(F.lit("000002" + "00" * 9), word("width"), word("height"), F.lit("2028"))
+    body = F.regexp_replace(F.hex("px"), "(..)(..)(..)(..)", "$3$2$1$4")
+    return _read_back(spark, im.select(F.concat("image_id", F.lit(".tga")).alias("name"), F.unhex(F.concat(head, body)).alias("data")), "tga")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

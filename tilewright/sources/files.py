@@ -28,10 +28,13 @@ def decode_images(files: DataFrame) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """All image files under ``path``.  JPEG goes through Spark's own image source, everything else is decoded here."""
+    """All image files under ``path``.  JPEG goes through Spark's own image source, everything else is decoded here.
+
+    A file that cannot be decoded is an error, of either kind.
+    """
     files = spark.read.format("binaryFile").load(path).where(~F.lower("path").rlike(r"\.jpe?g$"))
     others = decode_images(files.select("path", "content"))
-    jpeg = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").where(F.lower("origin").rlike(r"\.jpe?g$"))
+    jpeg = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(path).select("image.*").where(F.lower("origin").rlike(r"\.jpe?g$"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -39,6 +42,8 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
         for rows in batches:
             out = []
             for r in rows.itertuples():
+                if r.height < 1:
+                    raise ValueError(f"{r.origin}: not a JPEG that can be decoded")
                 v = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels).astype(np.uint32)
                 b, g, red = (v[..., k % r.nChannels] for k in range(3)) if r.nChannels >= 3 else (v[..., 0],) * 3
                 px = red | g << 8 | b << 16 | np.uint32(255) << np.uint32(24)
@@ -72,9 +77,21 @@ def pixels_of(images: DataFrame, layer: int = 0) -> DataFrame:
     return long.select("image_id", F.lit(layer).alias("layer"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.pmod("i", "width").cast("int").alias("x"), signed.alias("rgba"))
 
 
+def whole_frames(pixels: DataFrame) -> DataFrame:
+    """``pixels`` (image_id, y, x, rgba) with transparent black where the rectangle from (0, 0) lacks one.
+
+    Only images that lack pixels get a frame, so for all others this is a count of their rows.
+    """
+    px = pixels.select("image_id", "y", "x", "rgba")
+    sizes = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count("*").alias("n")).where("n < w * h")
+    rows = sizes.select("image_id", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"), "w")
+    frame = rows.select("image_id", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    return px.unionByName(frame.join(px.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti").withColumn("rgba", F.lit(0)))
+
+
 def images_of(pixels: DataFrame) -> DataFrame:
-    """Pixels of complete frames as images: image_id, width, height, px."""
+    """Pixels as images: image_id, width, height, px.  Absent pixels are transparent black."""
     ordered = F.array_sort(F.collect_list(F.struct("y", "x", "rgba")))
     le = lambda c: F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255)).cast("long")), 2, "0") for k in range(4)])
-    out = pixels.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), ordered.alias("p"))
-    return out.where(F.size("p") == F.col("width") * F.col("height")).select("image_id", "width", "height", F.unhex(F.array_join(F.transform("p", lambda s: le(s["rgba"])), "")).alias("px"))
+    out = whole_frames(pixels).groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), ordered.alias("p"))
+    return out.select("image_id", "width", "height", F.unhex(F.array_join(F.transform("p", lambda s: le(s["rgba"])), "")).alias("px"))
