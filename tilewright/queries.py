@@ -485,8 +485,9 @@ _SHOWN = _frame_sql(PARTS, _SNAPPED, "0", 16)
 
 def _round_trip(fmt: str):
     def run(spark, folder):
-        made = texture.encode_textures(_part_images(spark, folder), fmt)
-        return files.pixels_of(texture.decode_textures(made)).select("image_id", "y", "x", "rgba")
+        made = texture.encode_textures(_part_images(spark, folder), fmt, transparent0=fmt.startswith("palette"))
+        # what is transparent shows no colour, though formats with alpha store some
+        return files.pixels_of(texture.decode_textures(made)).select("image_id", "y", "x", c.zero_transparent("rgba").alias("rgba"))
 
     return run
 
@@ -501,22 +502,6 @@ def c16(spark, folder):
     return texture.encode_textures(files.images_of(ad.event_pixels(spark, folder)), "tex4x4", n_colors=64).select("image_id", "param", F.octet_length("texel").alias("texel_bytes"), F.octet_length("pidx").alias("pidx_bytes"), F.octet_length("palette").alias("palette_bytes"))
 
 
-_FIVE = [f"least(greatest({to5_sql(ch('solid', k))} + (k // {3**k}) % 3 - 1, 0), 31)" for k in range(3)]
-_NEAR15 = (
-    f"WITH p0 AS ({EVENTS}), c AS (SELECT DISTINCT rgba, (rgba | -16777216)::INTEGER AS solid FROM p0 WHERE {ch('rgba', 3)} >= 128), "
-    f"w AS (SELECT rgba, solid, ({_FIVE[0]} | ({_FIVE[1]} << 5) | ({_FIVE[2]} << 10))::INTEGER AS w FROM c, range(27) r(k)), "
-    f"e AS (SELECT rgba, solid, w, ({from15_sql('w')} | -16777216)::INTEGER AS entry FROM w), "
-    f"d AS (SELECT rgba, entry, row_number() OVER (PARTITION BY rgba ORDER BY {distance_sql(yiq_sql('solid'), yiq_sql('entry'))}, w) AS r FROM e) "
-    "SELECT p0.image_id, p0.layer, p0.y, p0.x, coalesce(d.entry, 0)::INTEGER AS rgba FROM p0 LEFT JOIN d ON d.rgba = p0.rgba AND d.r = 1"
-)
-
-
-@query("c13_direct", _frame_sql(_NEAR15, _OWN, "0", 64))
-def c13(spark, folder):
-    made = texture.encode_textures(files.images_of(ad.event_pixels(spark, folder)), "direct")
-    return files.pixels_of(texture.decode_textures(made)).select("image_id", "y", "x", "rgba")
-
-
 @query("c13_direct_diffused")
 def c13_diffused(spark, folder):
     made = texture.encode_textures(_part_images(spark, folder), "direct", diffuse=0.5)
