@@ -6,6 +6,9 @@ combine on the map side, and a stencil costs one shuffle by image.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,27 +114,51 @@ def principal_axis(row) -> list[float]:
     return (axis if lead >= 0 else -axis).tolist()
 
 
-def split_table(scored: DataFrame, keys: tuple[str, ...], score: str = "score", weight: str = "weight", value: tuple[str, ...] = ("y", "i", "q", "a")) -> DataFrame:
+def placed(rows: DataFrame, keys: tuple[str, ...], coarse: Column, order: tuple[str | Column, ...], name: str) -> DataFrame:
+    """``rows`` with ``name``, their place from 0 within ``keys`` in the order (coarse, *order).
+
+    Only the counts of ``coarse`` are put in order by group; rows are sorted within one value of
+    it, so that a large group is many tasks.
+    """
+    at = rows.withColumn("__k", coarse)
+    before = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    counts = at.groupBy(*keys, "__k").agg(F.count("*").alias("__n"))
+    starts = _renamed(counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"), (*keys, "__k"))
+    near = Window.partitionBy(*keys, "__k").orderBy(*order)
+    out = at.join(starts, _same((*keys, "__k"))).withColumn(name, F.row_number().over(near) - 1 + F.col("__start"))
+    return out.drop("__k", "__start", *[f"__of_{k}" for k in (*keys, "__k")])
+
+
+def _renamed(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+
+
+def _same(keys: tuple[str, ...]) -> Column:
+    """Equality with the ``_renamed`` keys, nulls being equal."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+
+
+def split_table(scored: DataFrame, keys: tuple[str, ...], score: str = "score", weight: str = "weight", value: tuple[str, ...] = ("y", "i", "q", "a"), step: float = 1.0) -> DataFrame:
     """Running sums along ``score`` and the within-cluster squares left by cutting after each row (wss).
 
     The best cut of a group is its least wss; the last row, which leaves nothing to the right,
-    has none.
+    has none.  Sums are first taken over stretches of ``step`` of the score, and rows are put in
+    order within a stretch only.
     """
-    by = Window.partitionBy(*keys).orderBy(score, *value).rowsBetween(Window.unboundedPreceding, 0)
+    w, at = F.col(weight), scored.withColumn("__k", F.floor(F.col(score) / step))
+    terms = {"w": w, "sq": sum((w * F.col(v) * F.col(v) for v in value), F.lit(0.0))} | {v: w * F.col(v) for v in value}
+    parts = at.groupBy(*keys, "__k").agg(*[F.sum(e).alias(f"__p_{n}") for n, e in terms.items()])
     whole = Window.partitionBy(*keys)
-    w = F.col(weight)
-    out = scored.withColumn("w_l", F.sum(w).over(by)).withColumn("w_all", F.sum(w).over(whole))
-    sq = sum((w * F.col(v) * F.col(v) for v in value), F.lit(0.0))
-    out = out.withColumn("sq", F.sum(sq).over(whole))
-    left, right = F.lit(0.0), F.lit(0.0)
-    for v in value:
-        out = out.withColumn(f"s_{v}", F.sum(w * F.col(v)).over(by)).withColumn(f"t_{v}", F.sum(w * F.col(v)).over(whole))
-        left = left + F.col(f"s_{v}") * F.col(f"s_{v}")
-        rest = F.col(f"t_{v}") - F.col(f"s_{v}")
-        right = right + rest * rest
-    rest = F.col("w_all") - F.col("w_l")
-    out = out.withColumn("wss", F.when(rest > 0, F.col("sq") - left / F.col("w_l") - right / rest))
-    return out.drop("sq", "w_all", *[f"{p}_{v}" for p in "st" for v in value])
+    before = whole.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*keys, "__k", *[F.coalesce(F.sum(f"__p_{n}").over(before), F.lit(0.0)).alias(f"__s_{n}") for n in terms if n != "sq"], *[F.sum(f"__p_{n}").over(whole).alias(f"__t_{n}") for n in terms])
+    by = Window.partitionBy(*keys, "__k").orderBy(score, *value).rowsBetween(Window.unboundedPreceding, 0)
+    out = at.join(_renamed(starts, (*keys, "__k")), _same((*keys, "__k")))
+    out = out.select(*scored.columns, *[(F.sum(e).over(by) + F.col(f"__s_{n}")).alias("w_l" if n == "w" else f"s_{n}") for n, e in terms.items() if n != "sq"], *[f"__t_{n}" for n in terms])
+    rest = F.col("__t_w") - F.col("w_l")
+    left = sum((F.col(f"s_{v}") * F.col(f"s_{v}") for v in value), F.lit(0.0))
+    right = sum(((F.col(f"__t_{v}") - F.col(f"s_{v}")) * (F.col(f"__t_{v}") - F.col(f"s_{v}")) for v in value), F.lit(0.0))
+    wss = F.when(rest > 0, F.col("__t_sq") - left / F.col("w_l") - right / rest)
+    return out.withColumn("wss", wss).select(*scored.columns, "w_l", *[f"s_{v}" for v in value], "wss")
 
 
 def count_colors(pixels: DataFrame, keys: tuple[str, ...] = ("image_id",), *, ignore_alpha: bool = False, binary_alpha: bool = False, count_transparent: bool = True, keep_transparent_color: bool = False) -> DataFrame:

@@ -6,13 +6,14 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ALPHA_NONE, ALPHA_RESERVE, Reduction
 from ..functions import color
 from ..functions.texture import screen_entry
 from .dither import index_image
+from .histogram import placed
 from .nearest import differences, nearest_entries, yiq_array
 
 SIDE = 8
@@ -44,11 +45,16 @@ def packed_blob(packed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def split_tiles(pixels: DataFrame, side: int = SIDE) -> DataFrame:
-    """(image_id, tile_y, tile_x, px array in row order) of every complete tile."""
+    """(image_id, tile_y, tile_x, px array in row order) of every tile; absent pixels are transparent black.
+
+    Of several pixels at one place the least rgba counts.
+    """
     ty, tx = (F.floor(F.col(c) / side).cast("int") for c in ("y", "x"))
     at = (F.pmod("y", F.lit(side)) * side + F.pmod("x", F.lit(side))).alias("k")
     tiles = pixels.groupBy("image_id", ty.alias("tile_y"), tx.alias("tile_x")).agg(F.array_sort(F.collect_list(F.struct(at, "rgba"))).alias("p"))
-    return tiles.where(F.size("p") == side * side).select("image_id", "tile_y", "tile_x", F.transform("p", lambda s: s["rgba"]).alias("px"))
+    places = F.sequence(F.lit(0), F.lit(side * side - 1))
+    filled = F.transform(places, lambda k: F.coalesce(F.get(F.filter("p", lambda s: s["k"] == k), F.lit(0))["rgba"], F.lit(0)))
+    return tiles.select("image_id", "tile_y", "tile_x", F.when(F.col("p.k") == places, F.col("p.rgba")).otherwise(filled).alias("px"))
 
 
 def flipped(px: str | Column, flip: int) -> Column:
@@ -65,17 +71,17 @@ def canonical(px: str | Column, flips: bool = True) -> Column:
 def dedup_tiles(tiles: DataFrame, order: tuple[str, ...] = ("tile_y", "tile_x"), flips: bool = True) -> DataFrame:
     """``tiles`` with master (tile number in ``order`` of the first equal tile), flip from it, and represents.
 
-    Equality is on the canonical form, whose hash is what is shuffled with the keys: tiles that
-    are alike meet by hash, and the form itself then decides.
+    Equality is on the canonical form.  Tiles are numbered by counts of their rows, and masters
+    come from an aggregation by form, which combines equal tiles (blank ones, say) before the
+    shuffle, joined back.
     """
-    first = Window.partitionBy("image_id").orderBy(*order)
-    form = canonical("px", flips)
-    numbered = tiles.withColumn("tile_no", (F.row_number().over(first) - 1).cast("int")).withColumn("__c", form)
-    alike = Window.partitionBy("image_id", F.xxhash64("__c.px"), "__c.px")
-    out = numbered.withColumn("__m", F.min(F.struct("tile_no", "__c.flip")).over(alike)).withColumn("represents", F.count("*").over(alike))
-    relative = F.col("__c.flip").bitwiseXOR(F.col("__m.flip"))
-    master = F.col("__m.tile_no")
-    return out.withColumn("master", master).withColumn("flip", relative).drop("__c", "__m")
+    formed = tiles.withColumn("__c", canonical("px", flips)).withColumn("__form", F.col("__c.px")).withColumn("__turn", F.col("__c.flip")).drop("__c")
+    numbered = placed(formed, ("image_id",), F.col(order[0]), order, "tile_no").withColumn("tile_no", F.col("tile_no").cast("int"))
+    first = F.min(F.col("tile_no").cast("long") * 4 + F.col("__turn")).alias("__first")
+    masters = numbered.groupBy(F.col("image_id").alias("__image"), F.col("__form").alias("__of")).agg(first, F.count("*").alias("represents"))
+    out = numbered.join(masters, F.col("image_id").eqNullSafe(F.col("__image")) & (F.col("__form") == F.col("__of")))
+    master, turn = F.floor(F.col("__first") / 4).cast("int"), F.col("__first").bitwiseAND(F.lit(3)).cast("int")
+    return out.withColumn("master", master).withColumn("flip", F.col("__turn").bitwiseXOR(turn)).drop("__form", "__turn", "__image", "__of", "__first")
 
 
 def tile_difference(a: Column, b: Column, reduction: Reduction = Reduction()) -> Column:
@@ -196,7 +202,8 @@ def assemble_screen(tiles: DataFrame, chars: list[list[int]], palettes: list[lis
 
     ``chars`` (64 indices each) and ``palettes`` are given and small (1024 by 64, 16 by 256 at most),
     so they travel with the function; tiles stream by in Arrow batches.  Index 0 matches
-    anything while ``transparent0`` holds.  Ties go to the lower character, palette, flip.
+    anything while ``transparent0`` holds.  Errors are taken to thousandths, so that sums
+    in another order tie alike; ties go to the lower character, palette, flip.
     """
     if len(chars) > 1024 or len(palettes) > 16:
         raise ValueError("too many characters or palettes")
@@ -215,7 +222,7 @@ def assemble_screen(tiles: DataFrame, chars: list[list[int]], palettes: list[lis
                     d[:, 0] = 0.0
                 for f, m in enumerate(FLIPS):
                     index = ch[:, np.arange(64) ^ m]
-                    errors = d[np.arange(64)[None], np.minimum(index, len(pal) - 1)].sum(axis=1)
+                    errors = np.floor(d[np.arange(64)[None], np.minimum(index, len(pal) - 1)].sum(axis=1) * 1000 + 0.5) / 1000
                     k = int(errors.argmin())
                     found = min(found, (float(errors[k]), k, p, f))
             out.append((found[1], found[2], found[3], found[0]))

@@ -123,14 +123,15 @@ def f23(spark, folder):
     return histogram.image_facts(px).select("image_id", t.choose_format("area", "opaque_colors", "colors", "translucent").alias("fmt"))
 
 
-@query("f24_block_palette", "SELECT o_orderkey, ((CASE WHEN o_orderkey * 17 <= 16384 THEN floor(sqrt((o_orderkey * 17)::DOUBLE) * 8) ELSE floor((log2((o_orderkey * 17)::DOUBLE) - 10) * 256 + 1e-6::DOUBLE) END::BIGINT + 15) // 16 * 16)::INTEGER AS n FROM orders WHERE o_orderkey > 0")
+@query("f24_block_palette", "SELECT o_orderkey, ((CASE WHEN o_orderkey * 17 <= 16384 THEN floor(sqrt((o_orderkey * 17)::DOUBLE) * 8) ELSE floor((log2((o_orderkey * 17)::DOUBLE) - 10) * 256 + 1e-6::DOUBLE) END::BIGINT + 15) // 16 * 16)::INTEGER AS n FROM orders")
 def f24(spark, folder):
-    return ad.table(spark, folder, "orders").where("o_orderkey > 0").select("o_orderkey", t.block_palette_colors(F.col("o_orderkey") * 17).alias("n"))
+    return ad.table(spark, folder, "orders").select("o_orderkey", t.block_palette_colors(F.col("o_orderkey") * 17).alias("n"))
 
 
-@query("f25_sides", "SELECT p_partkey, floor(log2(p_partkey::DOUBLE))::INTEGER AS l, (bit_count(p_partkey) = 1 AND p_partkey BETWEEN 8 AND 1024) AS v, CASE WHEN p_partkey < 8 THEN 8 ELSE (1 << floor(log2((p_partkey * 2 - 1)::DOUBLE))::INTEGER) END::INTEGER AS r FROM part WHERE p_partkey > 0")
+@query("f25_sides", "WITH s AS (SELECT p_partkey, greatest(p_partkey, 1) AS n FROM part) SELECT p_partkey, floor(log2(n::DOUBLE))::INTEGER AS l, (bit_count(n) = 1 AND n BETWEEN 8 AND 1024) AS v, CASE WHEN n < 8 THEN 8 ELSE (1 << floor(log2((n * 2 - 1)::DOUBLE))::INTEGER) END::INTEGER AS r FROM s")
 def f25(spark, folder):
-    return ad.table(spark, folder, "part").where("p_partkey > 0").select("p_partkey", t.log2_floor(F.col("p_partkey")).alias("l"), t.valid_side(F.col("p_partkey")).alias("v"), t.round_side(F.col("p_partkey")).cast("int").alias("r"))
+    s = ad.table(spark, folder, "part").select("p_partkey", F.greatest("p_partkey", F.lit(1)).alias("n"))
+    return s.select("p_partkey", t.log2_floor(F.col("n")).alias("l"), t.valid_side(F.col("n")).alias("v"), t.round_side(F.col("n")).cast("int").alias("r"))
 
 
 _BITS = "[0, 8, 2, 4, 8, 2, 8, 16]"
@@ -237,11 +238,17 @@ def a8(spark, folder):
     return cov.select("image_id", "weight", *[F.floor(F.col(f"mean_{n}") + 0.5).alias(f"mean_{n}") for n in "yiqa"], *[F.floor(F.col(x) / 100 + 0.5).alias(x) for x in cov.columns if x.startswith("cov_")])
 
 
-@query("a10_split", f"WITH px AS ({LINEITEM}), h AS (SELECT image_id, rgba, count(*)::DOUBLE AS w, ({ch('rgba', 0)})::DOUBLE AS y, ({ch('rgba', 1)})::DOUBLE AS i, ({ch('rgba', 2)})::DOUBLE AS q FROM px WHERE {ch('rgba', 3)} = 255 GROUP BY ALL), s AS (SELECT *, sum(w) OVER b AS wl, sum(w) OVER g AS wa, sum(w * (y*y + i*i + q*q)) OVER g AS sq, sum(w*y) OVER b AS sy, sum(w*i) OVER b AS si, sum(w*q) OVER b AS sqq, sum(w*y) OVER g AS ty, sum(w*i) OVER g AS ti, sum(w*q) OVER g AS tq FROM h WINDOW g AS (PARTITION BY image_id), b AS (PARTITION BY image_id ORDER BY y + i + q, y, i, q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), z AS (SELECT image_id, wl, sq - (sy*sy + si*si + sqq*sqq) / wl - ((ty-sy)*(ty-sy) + (ti-si)*(ti-si) + (tq-sqq)*(tq-sqq)) / (wa - wl) AS wss FROM s WHERE wa > wl) SELECT image_id, floor(min(wss) / 1000 + 0.5)::BIGINT AS wss FROM z GROUP BY 1")
+_CUT = {
+    "sums": ", ".join(f"sum(w * {n}) OVER b AS s_{n}, sum(w * {n}) OVER g AS t_{n}" for n in "yiqa"),
+    "left": " + ".join(f"s_{n} * s_{n}" for n in "yiqa"),
+    "right": " + ".join(f"(t_{n} - s_{n}) * (t_{n} - s_{n})" for n in "yiqa"),
+}
+
+
+@query("a10_split", f"WITH px AS ({LINEITEM}), h AS (SELECT image_id, rgba, count(*)::DOUBLE AS w, " + ", ".join(f"({ch('rgba', k)})::DOUBLE AS {n}" for k, n in enumerate("yiqa")) + f" FROM px GROUP BY ALL), s AS (SELECT *, sum(w) OVER b AS wl, sum(w) OVER g AS wa, sum(w * (y*y + i*i + q*q + a*a)) OVER g AS sq, {_CUT['sums']} FROM h WINDOW g AS (PARTITION BY image_id), b AS (PARTITION BY image_id ORDER BY y + i + q, y, i, q, a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), z AS (SELECT image_id, sq - ({_CUT['left']}) / wl - ({_CUT['right']}) / (wa - wl) AS wss FROM s WHERE wa > wl) SELECT image_id, floor(min(wss) / 1000 + 0.5)::BIGINT AS wss FROM z GROUP BY 1")
 def a10(spark, folder):
-    px = ad.lineitem_pixels(spark, folder).where(c.channel("rgba", 3) == 255)
-    h = histogram.histogram(px).select("image_id", "weight", *[c.channel("rgba", k).cast("double").alias(n) for k, n in enumerate("yiq")]).withColumn("score", F.col("y") + F.col("i") + F.col("q"))
-    s = histogram.split_table(h, ("image_id",), value=("y", "i", "q"))
+    h = a2(spark, folder).select("image_id", "weight", *[c.channel("rgba", k).cast("double").alias(n) for k, n in enumerate("yiqa")]).withColumn("score", F.col("y") + F.col("i") + F.col("q"))
+    s = histogram.split_table(h, ("image_id",))
     return s.groupBy("image_id").agg(F.floor(F.min("wss") / 1000 + 0.5).alias("wss"))
 
 
@@ -275,7 +282,17 @@ def a19(spark, folder):
 
 # -- joins, windows, tiles ------------------------------------------------------------------
 
-_TILES = "tl AS (SELECT image_id, (y // 8)::INTEGER AS tile_y, (x // 8)::INTEGER AS tile_x, list(rgba ORDER BY (y % 8) * 8 + x % 8) AS px FROM px GROUP BY 1, 2, 3 HAVING count(*) = 64)"
+def _tiles_sql(side: int) -> str:
+    """``tl``: the tiles of ``px`` row by row, absent pixels being 0."""
+    n = side * side
+    return (
+        f"spots AS (SELECT image_id, (y // {side})::INTEGER AS tile_y, (x // {side})::INTEGER AS tile_x, (y % {side}) * {side} + x % {side} AS k, rgba FROM px), pl AS (SELECT * FROM (SELECT DISTINCT image_id, tile_y, tile_x FROM spots), range({n}) r(k)), "
+        "tl AS (SELECT image_id, tile_y, tile_x, list(coalesce(rgba, 0) ORDER BY k) AS px FROM pl LEFT JOIN spots USING (image_id, tile_y, tile_x, k) GROUP BY 1, 2, 3)"
+    )
+
+
+_TILES = _tiles_sql(8)
+_NUMBERED = f"WITH px AS ({PARTS}), {_TILES}, n AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY tile_y, tile_x) - 1)::INTEGER AS tile_no FROM tl)"
 
 
 @query("j5_best_palette", f"WITH px AS ({EVENTS}), h AS (SELECT image_id, ((y // 8) * 8 + x // 8)::INTEGER AS tile_no, rgba, count(*) AS n FROM px GROUP BY ALL), p AS (SELECT (idx % 4)::INTEGER AS palette, entry FROM {_PAL}), d AS (SELECT image_id, tile_no, palette, rgba, n, min({distance_sql(yiq_sql('rgba'), yiq_sql('entry'))}) AS d FROM h, p GROUP BY ALL), e AS (SELECT image_id, tile_no, palette, sum(n * d) AS e FROM d GROUP BY ALL) SELECT image_id, tile_no, palette FROM (SELECT *, row_number() OVER (PARTITION BY image_id, tile_no ORDER BY e, palette) AS k FROM e) WHERE k = 1")
@@ -289,19 +306,19 @@ def j5(spark, folder):
 _TILE_D = "list_sum([{d} for k in range(64)])"
 
 
-@query("u2_tile_dedup", f"WITH px AS ({PARTS}), {_TILES}, n AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY tile_y, tile_x) - 1)::INTEGER AS tile_no FROM tl), f AS (SELECT image_id, tile_no, k AS flip, list_transform(range(64), lambda j: px[xor(j, ([0, 7, 56, 63])[k + 1]) + 1]) AS px FROM n, (VALUES (0), (1), (2), (3)) s(k)), cf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, tile_no ORDER BY px, flip) AS r FROM f) WHERE r = 1), m AS (SELECT image_id, px, min(tile_no) AS master, count(*) AS represents FROM cf GROUP BY 1, 2) SELECT cf.image_id, cf.tile_no, m.master, xor(cf.flip, mf.flip)::INTEGER AS flip, m.represents FROM cf JOIN m ON m.image_id = cf.image_id AND m.px = cf.px JOIN cf mf ON mf.image_id = m.image_id AND mf.tile_no = m.master")
+@query("u2_tile_dedup", f"{_NUMBERED}, f AS (SELECT image_id, tile_no, k AS flip, list_transform(range(64), lambda j: px[xor(j, ([0, 7, 56, 63])[k + 1]) + 1]) AS px FROM n, (VALUES (0), (1), (2), (3)) s(k)), cf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, tile_no ORDER BY px, flip) AS r FROM f) WHERE r = 1), m AS (SELECT image_id, px, min(tile_no) AS master, count(*) AS represents FROM cf GROUP BY 1, 2) SELECT cf.image_id, cf.tile_no, m.master, xor(cf.flip, mf.flip)::INTEGER AS flip, m.represents FROM cf JOIN m ON m.image_id = cf.image_id AND m.px = cf.px JOIN cf mf ON mf.image_id = m.image_id AND mf.tile_no = m.master")
 def u2(spark, folder):
     out = tiles.dedup_tiles(tiles.split_tiles(ad.part_pixels(spark, folder)))
     return out.select("image_id", "tile_no", "master", "flip", "represents")
 
 
-@query("j6_tile_pairs", f"WITH px AS ({PARTS}), {_TILES}, n AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY tile_y, tile_x) - 1)::INTEGER AS tile_no FROM tl), f AS (SELECT a.image_id, a.tile_no AS a, b.tile_no AS b, k AS flip, unnest(range(64)) AS j, a.px AS pa, b.px AS pb FROM n a JOIN n b ON a.image_id = b.image_id AND a.tile_no < b.tile_no, (VALUES (0), (1), (2), (3)) s(k)), v AS (SELECT image_id, a, b, flip, j, pa[j + 1] AS ra, pb[xor(j, ([0, 7, 56, 63])[flip + 1]) + 1] AS rb FROM f), e AS (SELECT image_id, a, b, flip, sum({distance_sql(yiq_sql('ra'), yiq_sql('rb'))}) AS d FROM v GROUP BY ALL) SELECT image_id, a, b, floor(min(d) / 1000 + 0.5)::BIGINT AS d FROM e GROUP BY ALL")
+@query("j6_tile_pairs", f"{_NUMBERED}, f AS (SELECT a.image_id, a.tile_no AS a, b.tile_no AS b, k AS flip, unnest(range(64)) AS j, a.px AS pa, b.px AS pb FROM n a JOIN n b ON a.image_id = b.image_id AND a.tile_no < b.tile_no, (VALUES (0), (1), (2), (3)) s(k)), v AS (SELECT image_id, a, b, flip, j, pa[j + 1] AS ra, pb[xor(j, ([0, 7, 56, 63])[flip + 1]) + 1] AS rb FROM f), e AS (SELECT image_id, a, b, flip, sum({distance_sql(yiq_sql('ra'), yiq_sql('rb'))}) AS d FROM v GROUP BY ALL) SELECT image_id, a, b, floor(min(d) / 1000 + 0.5)::BIGINT AS d FROM e GROUP BY ALL")
 def j6(spark, folder):
     px = tiles.dedup_tiles(tiles.split_tiles(ad.part_pixels(spark, folder)), flips=False)
     return tiles.tile_pairs(px).select("image_id", "a", "b", F.floor(F.col("d") / 1000 + 0.5).alias("d"))
 
 
-@query("a15_mean_tiles", f"WITH px AS ({PARTS}), {_TILES}, n AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY tile_y, tile_x) - 1)::INTEGER AS tile_no FROM tl), g AS (SELECT image_id, (tile_no // 4)::INTEGER AS master, j AS k, px[j + 1] AS rgba FROM n, range(64) r(j)) SELECT image_id, master, k::INTEGER AS k, {milli('avg(' + _Y + ')')} AS y FROM g GROUP BY ALL")
+@query("a15_mean_tiles", f"{_NUMBERED}, g AS (SELECT image_id, (tile_no // 4)::INTEGER AS master, j AS k, px[j + 1] AS rgba FROM n, range(64) r(j)) SELECT image_id, master, k::INTEGER AS k, {milli('avg(' + _Y + ')')} AS y FROM g GROUP BY ALL")
 def a15(spark, folder):
     d = tiles.dedup_tiles(tiles.split_tiles(ad.part_pixels(spark, folder)), flips=False)
     m = d.withColumn("master", F.floor(F.col("tile_no") / 4).cast("int")).withColumn("flip", F.lit(0))
@@ -320,12 +337,11 @@ def j12(spark, folder):
     return px.groupBy(c.snap15("rgba").alias("masked")).agg(F.count_distinct("rgba").alias("colors"), F.count("*").alias("weight"))
 
 
-@query("j13_duplicate_blocks", f"WITH px AS ({PARTS}), b AS (SELECT image_id, ((y // 4) * 4 + x // 4)::INTEGER AS block_no, list(rgba ORDER BY (y % 4) * 4 + x % 4) AS px FROM px GROUP BY ALL HAVING count(*) = 16) SELECT image_id, block_no, min(block_no) OVER (PARTITION BY image_id, px) AS first_no FROM b")
+@query("j13_duplicate_blocks", f"WITH px AS ({PARTS}), {_tiles_sql(4)}, b AS (SELECT image_id, tile_y * 4 + tile_x AS block_no, px FROM tl) SELECT image_id, block_no, min(block_no) OVER (PARTITION BY image_id, px) AS first_no FROM b")
 def j13(spark, folder):
-    from pyspark.sql import Window
-
     b = tiles.split_tiles(ad.part_pixels(spark, folder), 4).withColumn("block_no", F.col("tile_y") * 4 + F.col("tile_x"))
-    return b.select("image_id", "block_no", F.min("block_no").over(Window.partitionBy("image_id", "px")).alias("first_no"))
+    firsts = b.groupBy("image_id", "px").agg(F.min("block_no").alias("first_no"))
+    return b.join(firsts, ["image_id", "px"]).select("image_id", "block_no", "first_no")
 
 
 @query("w5_runs", "WITH b AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark WHERE text IS NOT NULL), v AS (SELECT item_id, i, substr(text, i, 1) AS value FROM b), m AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY item_id ORDER BY i) THEN 0 ELSE 1 END AS f FROM v), g AS (SELECT *, sum(f) OVER (PARTITION BY item_id ORDER BY i) - 1 AS run FROM m) SELECT item_id, run::BIGINT AS run, first(value) AS value, min(i)::INTEGER AS start, count(*) AS length FROM g GROUP BY 1, 2")
@@ -334,21 +350,18 @@ def w5(spark, folder):
     return histogram.run_lengths(b, ("item_id",), "i", "value")
 
 
-@query("k13_panel_order", "WITH s AS (SELECT 0::BIGINT AS image_id, p_partkey // 40 AS ty, p_partkey % 40 AS tx, (p_partkey % 1024)::INTEGER AS entry FROM part), h AS (SELECT (max(ty) + 1) AS h FROM s WHERE tx = 39) SELECT ty::INTEGER AS ty, tx::INTEGER AS tx, entry, (row_number() OVER (ORDER BY ty // 32, tx // 32, ty, tx) - 1)::BIGINT AS pos FROM s, h WHERE ty < h")
+@query("k13_panel_order", "WITH s AS (SELECT p_partkey // 40 AS ty, p_partkey % 40 AS tx, (p_partkey % 1024)::INTEGER AS entry FROM part), h AS (SELECT max(ty) + 1 AS h FROM s), g AS (SELECT ty, unnest(range(40)) AS tx FROM (SELECT unnest(range(h::BIGINT)) AS ty FROM h)), o AS (SELECT ty, tx, row_number() OVER (ORDER BY ty // 32, tx // 32, ty, tx) - 1 AS pos FROM g) SELECT ty::INTEGER AS ty, tx::INTEGER AS tx, entry, pos::BIGINT AS pos FROM s JOIN o USING (ty, tx)")
 def k13(spark, folder):
     s = ad.table(spark, folder, "part").select(F.lit(0).cast("long").alias("image_id"), F.floor(F.col("p_partkey") / 40).cast("int").alias("ty"), F.pmod("p_partkey", F.lit(40)).cast("int").alias("tx"), (F.col("p_partkey") % 1024).cast("int").alias("entry"))
-    rows = s.where("tx = 39").agg((F.max("ty") + 1).alias("h"))
-    whole = s.join(F.broadcast(rows)).where("ty < h")
-    return tiles.panel_order(whole, F.lit(40), "h").select("ty", "tx", "entry", F.col("pos").cast("long").alias("pos"))
+    rows = s.agg((F.max("ty") + 1).alias("h"))
+    return tiles.panel_order(s.join(F.broadcast(rows)), F.lit(40), "h").select("ty", "tx", "entry", F.col("pos").cast("long").alias("pos"))
 
 
 @query("t3_lightness_order", f"WITH px AS ({LINEITEM}), h AS (SELECT DISTINCT image_id, rgba, {ch('rgba', 3)} AS a, {_Y} AS yy FROM px) SELECT image_id, rgba, (row_number() OVER (PARTITION BY image_id ORDER BY a, yy, rgba) - 1)::INTEGER AS place FROM h")
 def t3(spark, folder):
-    from pyspark.sql import Window
-
-    h = ad.lineitem_pixels(spark, folder).select("image_id", "rgba").distinct()
-    by = Window.partitionBy("image_id").orderBy(c.channel("rgba", 3), c.yiq("rgba")["y"], "rgba")
-    return h.select("image_id", "rgba", (F.row_number().over(by) - 1).cast("int").alias("place"))
+    h = ad.lineitem_pixels(spark, folder).select("image_id", "rgba").distinct().withColumn("a", c.channel("rgba", 3)).withColumn("yy", c.yiq("rgba")["y"])
+    coarse = F.col("a") * 1024 + F.floor("yy")  # y stays below 512
+    return histogram.placed(h, ("image_id",), coarse, ("a", "yy", "rgba"), "place").select("image_id", "rgba", F.col("place").cast("int").alias("place"))
 
 
 @query("u1_layers", f"SELECT image_id, 0 AS layer, count(*) AS n FROM ({LINEITEM}) GROUP BY 1 UNION ALL SELECT image_id, 1, count(*) FROM ({EVENTS}) GROUP BY 1")
@@ -413,12 +426,21 @@ def g8(spark, folder):
     return images.scale_into(ad.event_pixels(spark, folder), 64, 64, 48, 32, "fit").select("image_id", "y", "x", "rgba")
 
 
-@query("c12_pad", f"WITH px AS ({PARTS}), n AS (SELECT image_id, max(y) AS h FROM px WHERE x = 15 GROUP BY 1), g AS (SELECT image_id, h, a.k AS y, b.k AS x FROM n, range(70) a(k), range(24) b(k)) SELECT g.image_id, g.y::INTEGER AS y, g.x::INTEGER AS x, px.rgba FROM g JOIN px ON px.image_id = g.image_id AND px.y = least(g.y, h) AND px.x = least(g.x, 15)")
+def _frame_sql(pixels: str, shown: str, absent: str, width: int) -> str:
+    """Every place of every image's rectangle: ``shown`` of its pixel, or ``absent``."""
+    return (
+        f"WITH px AS ({pixels}), n AS (SELECT image_id, max(y) AS h FROM px GROUP BY 1), g AS (SELECT image_id, unnest(range(h::BIGINT + 1)) AS y FROM n), f AS (SELECT image_id, y, unnest(range({width})) AS x FROM g) "
+        f"SELECT f.image_id, f.y::INTEGER AS y, f.x::INTEGER AS x, CASE WHEN px.rgba IS NULL THEN {absent} ELSE {shown} END::INTEGER AS rgba FROM f LEFT JOIN px ON px.image_id = f.image_id AND px.y = f.y AND px.x = f.x"
+    )
+
+
+_OWN = "px.rgba"
+
+
+@query("c12_pad", f"WITH fr AS ({_frame_sql(PARTS, _OWN, '0', 16)}), n AS (SELECT image_id, max(y) AS h FROM fr GROUP BY 1), g AS (SELECT image_id, h, a.k AS y, b.k AS x FROM n, range(70) a(k), range(24) b(k)) SELECT g.image_id, g.y::INTEGER AS y, g.x::INTEGER AS x, fr.rgba FROM g JOIN fr ON fr.image_id = g.image_id AND fr.y = least(g.y, h) AND fr.x = least(g.x, 15)")
 def c12(spark, folder):
-    px = ad.part_pixels(spark, folder)
-    sizes = px.where("x = 15").groupBy("image_id").agg((F.max("y") + 1).alias("height")).withColumn("width", F.lit(16))
-    whole = px.join(sizes.select("image_id", "height"), "image_id").where("y < height").drop("height")
-    return images.pad_clamped(whole, sizes, F.lit(24), F.lit(70)).select("image_id", "y", "x", "rgba")
+    made = _part_images(spark, folder)
+    return images.pad_clamped(files.pixels_of(made), made.select("image_id", "width", "height"), F.lit(24), F.lit(70)).select("image_id", "y", "x", "rgba")
 
 
 # -- kernels: palettes, dithering, textures, codecs, files ----------------------------------
@@ -456,29 +478,22 @@ def c9(spark, folder):
     return tiles.reduce_tiles(d.select("image_id", "tile_no", "px"), 16).select("image_id", "tile_no", "master", "flip", "char_no")
 
 
-@query("j8_assemble_screen")
+_CHARS = "[0, 1, j % 8, j // 8][chr + 1]"
+_SCREEN_PAL = "(VALUES " + ", ".join(f"({p}, {k}, {v})" for p, entries in enumerate((PALETTE, PALETTE[::-1])) for k, v in enumerate(entries)) + ") pal(pal, idx, entry)"
+
+
+@query("j8_assemble_screen", f"{_NUMBERED}, v AS (SELECT image_id, tile_no, chr, flip, k, px[k + 1] AS rgba, xor(k, ([0, 7, 56, 63])[flip + 1]) AS j FROM n, range(64) r(k), range(4) c(chr), range(4) f(flip)), i AS (SELECT *, ({_CHARS})::INTEGER AS idx FROM v), e AS (SELECT image_id, tile_no, chr, pal, flip, {milli('sum(' + distance_sql(yiq_sql('rgba'), yiq_sql('entry')) + ')')} AS error FROM i JOIN {_SCREEN_PAL} USING (idx) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY image_id, tile_no ORDER BY error, chr, pal, flip) AS place FROM e) SELECT image_id, tile_no, chr::INTEGER AS \"char\", pal::INTEGER AS palette, flip::INTEGER AS flip, error, (chr | (flip << 10) | (pal << 12))::INTEGER AS entry FROM o WHERE place = 1")
 def j8(spark, folder):
     d = tiles.dedup_tiles(tiles.split_tiles(ad.part_pixels(spark, folder)), flips=False)
     chars = [[0] * 64, [1] * 64, [k % 8 for k in range(64)], [k // 8 for k in range(64)]]
-    return tiles.assemble_screen(d.select("image_id", "tile_no", "px"), chars, [PALETTE, PALETTE[::-1]], transparent0=False)
+    found = tiles.assemble_screen(d.select("image_id", "tile_no", "px"), chars, [PALETTE, PALETTE[::-1]], transparent0=False)
+    return found.withColumn("error", scaled(F.col("error")))
 
 
 def _part_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.images_of(ad.part_pixels(spark, folder))
 
 
-_OWN = "px.rgba"
-
-
-
-def _frame_sql(pixels: str, shown: str, absent: str, width: int) -> str:
-    """Every place of every image's rectangle: ``shown`` of its pixel, or ``absent``."""
-    return (
-        f"WITH px AS ({pixels}), n AS (SELECT image_id, max(y) AS h FROM px GROUP BY 1), g AS (SELECT image_id, unnest(range(h::BIGINT + 1)) AS y FROM n), f AS (SELECT image_id, y, unnest(range({width})) AS x FROM g) "
-        f"SELECT f.image_id, f.y::INTEGER AS y, f.x::INTEGER AS x, CASE WHEN px.rgba IS NULL THEN {absent} ELSE {shown} END::INTEGER AS rgba FROM f LEFT JOIN px ON px.image_id = f.image_id AND px.y = f.y AND px.x = f.x"
-    )
-
-
 _SNAPPED = pack_sql(*(f"(({snap15_sql(_OWN)} >> {8 * k}) & 255)" for k in range(3)), "255")
 _SHOWN = _frame_sql(PARTS, _SNAPPED, "0", 16)
 
