@@ -426,18 +426,7 @@ def g8(spark, folder):
     return images.scale_into(ad.event_pixels(spark, folder), 64, 64, 48, 32, "fit").select("image_id", "y", "x", "rgba")
 
 
-def _frame_sql(pixels: str, shown: str, absent: str, width: int) -> str:
-    """Every place of every image's rectangle: ``shown`` of its pixel, or ``absent``."""
-    return (
-        f"WITH px AS ({pixels}), n AS (SELECT image_id, max(y) AS h FROM px GROUP BY 1), g AS (SELECT image_id, unnest(range(h::BIGINT + 1)) AS y FROM n), f AS (SELECT image_id, y, unnest(range({width})) AS x FROM g) "
-        f"SELECT f.image_id, f.y::INTEGER AS y, f.x::INTEGER AS x, CASE WHEN px.rgba IS NULL THEN {absent} ELSE {shown} END::INTEGER AS rgba FROM f LEFT JOIN px ON px.image_id = f.image_id AND px.y = f.y AND px.x = f.x"
-    )
-
-
-_OWN = "px.rgba"
-
-
-@query("c12_pad", f"WITH fr AS ({_frame_sql(PARTS, _OWN, '0', 16)}), n AS (SELECT image_id, max(y) AS h FROM fr GROUP BY 1), g AS (SELECT image_id, h, a.k AS y, b.k AS x FROM n, range(70) a(k), range(24) b(k)) SELECT g.image_id, g.y::INTEGER AS y, g.x::INTEGER AS x, fr.rgba FROM g JOIN fr ON fr.image_id = g.image_id AND fr.y = least(g.y, h) AND fr.x = least(g.x, 15)")
+@query("c12_pad", f"WITH px AS ({PARTS}), n AS (SELECT image_id, max(y) AS h FROM px GROUP BY 1), g AS (SELECT image_id, a.k AS y, b.k AS x, least(a.k, h) AS sy, least(b.k, 15) AS sx FROM n, range(70) a(k), range(24) b(k)) SELECT g.image_id, g.y::INTEGER AS y, g.x::INTEGER AS x, coalesce(px.rgba, 0)::INTEGER AS rgba FROM g LEFT JOIN px ON px.image_id = g.image_id AND px.y = g.sy AND px.x = g.sx")
 def c12(spark, folder):
     made = _part_images(spark, folder)
     return images.pad_clamped(files.pixels_of(made), made.select("image_id", "width", "height"), F.lit(24), F.lit(70)).select("image_id", "y", "x", "rgba")
@@ -494,6 +483,15 @@ def _part_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.images_of(ad.part_pixels(spark, folder))
 
 
+def _frame_sql(pixels: str, shown: str, absent: str, width: int) -> str:
+    """Every place of every image's rectangle: ``shown`` of its pixel, or ``absent``."""
+    return (
+        f"WITH px AS ({pixels}), n AS (SELECT image_id, max(y) AS h FROM px GROUP BY 1), g AS (SELECT image_id, unnest(range(h::BIGINT + 1)) AS y FROM n), f AS (SELECT image_id, y, unnest(range({width})) AS x FROM g) "
+        f"SELECT f.image_id, f.y::INTEGER AS y, f.x::INTEGER AS x, CASE WHEN px.rgba IS NULL THEN {absent} ELSE {shown} END::INTEGER AS rgba FROM f LEFT JOIN px ON px.image_id = f.image_id AND px.y = f.y AND px.x = f.x"
+    )
+
+
+_OWN = "px.rgba"
 _SNAPPED = pack_sql(*(f"(({snap15_sql(_OWN)} >> {8 * k}) & 255)" for k in range(3)), "255")
 _SHOWN = _frame_sql(PARTS, _SNAPPED, "0", 16)
 
