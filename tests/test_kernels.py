@@ -212,3 +212,36 @@ def test_trim():
     param, texel, pidx, _ = texture.encode_image(px, 5, RED)
     t, p, rows = texture.trim(param, texel, pidx, 10)
     assert rows == 12 and len(t) == 48 and len(p) == 24
+
+
+def test_edge_tiles_are_filled(spark):
+    px = spark.createDataFrame([(1, 0, 0, 5), (1, 0, 0, 3), (1, 7, 7, 9), (1, 9, 1, 4)], "image_id long, y int, x int, rgba int")
+    got = {(r.tile_y, r.tile_x): list(r.px) for r in tiles.split_tiles(px).collect()}
+    assert got == {(0, 0): [3] + [0] * 62 + [9], (1, 0): [0] * 9 + [4] + [0] * 54}
+
+
+def test_places_within_groups(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.operators import histogram
+
+    rows = [(g, v) for g in (1, None) for v in (7, 3, 12, 11, 25, 0)]
+    got = histogram.placed(spark.createDataFrame(rows, "g int, v int"), ("g",), F.floor(F.col("v") / 10), ("v",), "place")
+    assert sorted(((r.g or 0, r.v, r.place) for r in got.collect())) == [(g, v, k) for g in (0, 1) for k, v in enumerate((0, 3, 7, 11, 12, 25))]
+
+
+def test_cuts_agree_with_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.operators import histogram
+
+    points = [(1, float(2 + k % 3), float(k * 7 % 11), float(k), 0.0, 1.0) for k in range(12)]
+    df = spark.createDataFrame(points, "g int, weight double, y double, i double, q double, a double").withColumn("score", F.col("y") * 0.4 - 2)
+    for r in histogram.split_table(df, ("g",)).collect():
+        left = [p for p in points if (p[2], p[3], p[4], p[5]) <= (r.y, r.i, r.q, r.a)]
+        right = [p for p in points if p not in left]
+        want = 0.0
+        for side in (left, right):
+            w = sum(p[1] for p in side)
+            want += sum(p[1] * p[k] ** 2 for p in side for k in (2, 3, 4, 5)) - (sum(sum(p[1] * p[k] for p in side) ** 2 for k in (2, 3, 4, 5)) / w if w else 0)
+        assert r.wss is None if not right else abs(r.wss - want) < 1e-6
