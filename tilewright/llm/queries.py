@@ -158,6 +158,30 @@ def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS place
+  FROM documents),
+starts AS (SELECT place, h, unnest(range(strlen(h) // 2 - 99)) AS start FROM d),
+windows AS (SELECT place, start, md5_number(substr(h, 2 * start + 1, 200)) AS w FROM starts),
+firsts AS (SELECT w, min(place * 4294967296 + start) AS first FROM windows GROUP BY w HAVING count(*) > 1),
+later AS (SELECT place, start FROM windows JOIN firsts USING (w) WHERE place * 4294967296 + start > first),
+marked AS (
+  SELECT place, start, CASE WHEN start - lag(start) OVER (PARTITION BY place ORDER BY start) <= 100 THEN 0 ELSE 1 END AS opens
+  FROM later),
+numbered AS (SELECT place, start, sum(opens) OVER (PARTITION BY place ORDER BY start) AS run FROM marked),
+spans AS (SELECT place, min(start) AS b, max(start) + 100 AS e FROM numbered GROUP BY place, run),
+gaps AS (
+  SELECT place, coalesce(lag(e) OVER (PARTITION BY place ORDER BY b), 0) AS b, b AS e FROM spans
+  UNION ALL SELECT place, max(e), strlen(any_value(h)) // 2 FROM spans JOIN d USING (place) GROUP BY place),
+pieces AS (SELECT place, string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' ORDER BY b) AS kept FROM gaps JOIN d USING (place) GROUP BY place),
+sums AS (SELECT place, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY place)
+SELECT doc_id, strlen(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (place) LEFT JOIN pieces USING (place)
+"""
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -165,6 +189,34 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id,
+         CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+              ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM d),
+forms AS (SELECT dense_rank() OVER (ORDER BY list_sort(s)) AS form, doc_id, s FROM sets),
+texts AS (SELECT form, any_value(s) AS s, len(any_value(s)) AS n, min(doc_id) AS doc_id FROM forms WHERE len(s) > 0 GROUP BY form),
+items AS (SELECT form, n, unnest(s) AS x FROM texts),
+links AS (
+  SELECT a.form AS p, b.form AS q
+  FROM items a JOIN items b ON a.x = b.x AND a.form < b.form AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.form, b.form, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT p, q FROM links UNION ALL SELECT q, p FROM links),
+reached AS (
+  SELECT form AS root, form FROM texts
+  UNION SELECT reached.root, edges.q FROM reached JOIN edges ON reached.form = edges.p),
+roots AS (SELECT root AS form, min(doc_id) AS component_id FROM reached JOIN texts USING (form) GROUP BY root)
+SELECT forms.doc_id, len(forms.s) AS n_shingles, coalesce(component_id, forms.doc_id) AS component_id,
+       forms.doc_id = coalesce(component_id, forms.doc_id) AS kept
+FROM forms LEFT JOIN roots USING (form)
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_folder, read_archives, write_archives
 
@@ -192,6 +244,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
         "op2_vector_topk": OP2_SQL,
+        "op6_suffix_repeats": OP6_SQL,
+        "op7_minhash": OP7_SQL,
         "op9_warc": OP9_SQL,
         "op8_url_filter": OP8_SQL,
         "op10_mix_sources": OP10_SQL,
