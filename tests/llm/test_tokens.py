@@ -18,6 +18,9 @@ def samples():
     chars = [chr(c) for c in range(tokens.LIMIT)]
     out = [a + c + b for c in chars for a in ("a", "1", " ", "'", "\n") for b in ("a", "1", " ", "s", "\n ")]
     out += ["".join(rnd.choice(chars + [" "] * 200 + list("'stremdl \n\n") * 10) for _ in range(rnd.randint(1, 40))) for _ in range(5000)]
+    far = list("“”’—…漢字абвΣςİȺ\u0301\u0327\u180e\u2003\u2028\u200b\u200d\u3000\ufeff😀가각\u11a8")
+    out += [a + c + b + d for c in far for a in ("a", "1 ", "  ", "'", "\n") for b in ("", " ", "a", "  \n", "\u2003", "İ") for d in ("b", " 's", "\u0301", " \u3000x", "")]
+    out += ["".join(rnd.choice(far + list("aSe1'., \n\t") * 6 + [" "] * 40) for _ in range(rnd.randint(1, 60))) for _ in range(8000)]
     return [*out, "", "<|endoftext|>", " a<|endoftext|>b  <|endoftext|>", "<|endoftext|", "x <|startoftext|>y", "漢字 and text", "emoji 😀", "Σας ΣΑΣ", "e\u0301"]
 
 
@@ -109,3 +112,11 @@ def test_packing(docs, corpus, no_docs, tmp_path):
     assert packing.pack_documents(no_docs, WORD).count() == 0
     with pytest.raises(ValueError):
         packing.decompose(docs, WORD, longest=1000)
+
+
+def test_only_stretches_are_left_to_the_library(monkeypatch):
+    """One far character does not send its whole text past the shortcut."""
+    text = "plain words, and " * 500 + "a “quoted” one — then more plain words" + " again" * 500
+    pieces = tokens.splitter(BYTE)(text)
+    assert "".join(pieces) == text and [p for p in pieces if tokens.beyond(p)] == [" “quoted”", " —"]
+    assert [p for p in tokens.splitter(WORD)(text) if tokens.beyond(p)] == [" “quoted”", " —"]

@@ -24,8 +24,10 @@ class Ids(dict):
         self.merge = tokens.merger(path)
 
     def __missing__(self, word: str) -> bytes:
-        found = [t.id for t in self.merge(word)]
-        ids = self[word] = pack(f"<{len(found)}I", *found)
+        found = self.merge(word)
+        ids = pack(f"<{len(found)}I", *found)
+        if len(word) <= tokens.CACHED:
+            self[word] = ids
         return ids
 
     def bound(self) -> None:
@@ -48,14 +50,8 @@ def _encoder(path: str):
         out = []
         for text in texts:
             pieces = special.split(text) if special and "<" in text else [text]
-            parts = [split(p) for p in pieces[::2]]
-            if None in parts:
-                out.append(np.array(encode_whole([text])[0], "<u4").tobytes())
-            elif len(parts) == 1:
-                out.append(b"".join(map(ids.__getitem__, parts[0])))
-            else:
-                body = [b"".join(map(ids.__getitem__, p)) for p in parts]
-                out.append(body[0] + b"".join(added[a] + b for a, b in zip(pieces[1::2], body[1:], strict=True)))
+            body = [b"".join(map(ids.__getitem__, split(p))) for p in pieces[::2]]
+            out.append(body[0] + b"".join(added[a] + b for a, b in zip(pieces[1::2], body[1:], strict=True)))
         ids.bound()
         return out
 

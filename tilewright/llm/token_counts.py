@@ -27,7 +27,7 @@ def whole_tokens(path: str) -> list[str]:
     lib = tokens.library(path)
     special = {t.content for t in lib.get_added_tokens_decoder().values()}
     split = tokens.patterns()[kind].fullmatch
-    strings = [s for s in tokens.vocabulary_strings(path) if s not in special and not tokens.other(s) and split(s)]
+    strings = [s for s in tokens.vocabulary_strings(path) if s not in special and not tokens.beyond(s) and split(s)]
     encoded = lib.encode_batch_fast(strings, add_special_tokens=False)
     return [s for s, e in zip(strings, encoded, strict=True) if len(e.ids) == 1]
 
@@ -40,7 +40,9 @@ class Counts(dict):
         self.merge, self.singles = tokens.merger(path), singles
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = len(self.merge(word))
+        n = len(self.merge(word))
+        if len(word) <= tokens.CACHED:
+            self[word] = n
         return n
 
     def bound(self) -> None:
@@ -62,11 +64,8 @@ def _counter(path: str, singles: list[str]):
         out = []
         for text in texts:
             pieces = special.split(text) if special and "<" in text else [text]
-            parts = [split(p) for p in pieces[::2]]  # every second piece is an added token
-            if None in parts:
-                out.append(len(whole([text])[0]))
-            else:
-                out.append(len(pieces) // 2 + sum(sum(map(counts.__getitem__, p)) for p in parts))
+            # every second piece is an added token
+            out.append(len(pieces) // 2 + sum(sum(map(counts.__getitem__, split(p))) for p in pieces[::2]))
         counts.bound()
         return out
 
@@ -78,7 +77,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     ``path`` names a vocabulary file that every executor can read.  Files of the tokenizers library
     whose normaliser and pre-tokenizer are among the proven ones (``tokens.PROVEN``) take the
-    shortcut; for any other, and for sentencepiece models, the library encodes whole texts.
+    shortcut, but for stretches between white space that hold a character from U+0250 on, which
+    the library encodes; for any other file, and for sentencepiece models, it encodes whole texts.
     Added tokens inside texts count as the library's default has them, one each; nothing is added
     and nothing truncated.  Pre-tokens among the proven whole tokens count one without merging;
     all others are merged by the library, once per worker and cache generation.

@@ -1,8 +1,10 @@
 """Fast, exact splitting of texts into the pre-tokens of a vocabulary file.
 
-Texts whose characters all lie below U+0250 are split here with one pattern per tokenizer;
-there NFC changes nothing and classes and lower-casing agree with the library (the tests go
-through every one of these characters).  Any other text is left to the library as a whole.
+Characters below U+0250 are split here with one pattern per tokenizer; there NFC changes
+nothing and classes and lower-casing agree with the library (the tests go through every one of
+these characters).  A text with others is cut before white space that follows anything else,
+where every pattern ends a pre-token and NFC and lower-casing look no further; only those of the
+stretches between that hold such a character are left to the library, each as a whole.
 """
 
 from __future__ import annotations
@@ -19,10 +21,24 @@ LIMIT = 0x250
 SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 #: Entries that a worker's cache may hold before it starts anew.
 CACHE = 500_000
+#: Longest string, in characters, that the cache keeps.
+CACHED = 200
 
 other = re.compile(f"[^\\x00-{chr(LIMIT - 1)}]").search
 
 
+def beyond(text: str) -> bool:
+    """Is this stretch the library's: does it, or its lower-case form, hold a character from LIMIT on?"""
+    return bool(other(text) or other(text.lower()))
+
+
+# White space from LIMIT on in any version of Unicode, and invisible characters that have been or might be such: no cut beside them.
+_DOUBTFUL = "\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
+_LOW = re.escape(SPACE)
+#: Stretches of a text, each but the first from white space below LIMIT on.
+stretches = re.compile(f"[{_LOW}{_DOUBTFUL}]*[^{_LOW}{_DOUBTFUL}]+(?:[{_DOUBTFUL}][{_LOW}{_DOUBTFUL}]*[^{_LOW}{_DOUBTFUL}]*)*|[{_LOW}{_DOUBTFUL}]+").findall
+
+
 def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(LIMIT) if unicodedata.category(chr(c))[0] == kind)
 
@@ -70,21 +86,26 @@ def kind_of(path: str) -> str | None:
     return next((kind for kind, own in PROVEN.items() if own == (said.get("normalizer"), said.get("pre_tokenizer"))), None)
 
 
-def splitter(path: str) -> Callable[[str], list[str] | None] | None:
-    """A text without added tokens to its pre-tokens, or to None where the library must encode it; no function for unproven files."""
+def splitter(path: str) -> Callable[[str], list[str]] | None:
+    """A text without added tokens to its pre-tokens and, where ``beyond``, stretches as they stand; no function for unproven files."""
     kind = kind_of(path)
     if kind is None:
         return None
     find = patterns()[kind].findall
-    if kind == "byte":
-        return lambda text: None if other(text) else find(text)
 
-    def lowered(text: str) -> list[str] | None:
+    def split(text: str) -> list[str]:
         small = text.lower()
-        # some capitals below the limit have small letters beyond it
-        return None if other(text) or other(small) else find(small)
+        if text.isascii() or not (other(text) or other(small)):
+            return find(small if kind == "word" else text)
+        out = []
+        for s in stretches(text):
+            if not s.isascii() and beyond(s):
+                out.append(s)
+            else:
+                out += find(s.lower() if kind == "word" else s)
+        return out
 
-    return lowered
+    return split
 
 
 def whole_ids(path: str) -> Callable[[list[str]], list[list[int]]]:
@@ -137,7 +158,13 @@ def vocabulary_strings(path: str) -> list[str]:
 
 
 @lru_cache(4)
-def merger(path: str):
-    """The library's own merges, applied to one pre-token."""
-    table, merge = dict(enumerate(_byte_characters())), library(path).model.tokenize
-    return lambda word: merge(word.encode().decode("latin-1").translate(table))
+def merger(path: str) -> Callable[[str], list[int]]:
+    """Ids of what ``splitter`` gives: a pre-token through the library's merges alone, a stretch ``beyond`` through all of it."""
+    table, merge, whole = dict(enumerate(_byte_characters())), library(path).model.tokenize, whole_ids(path)
+
+    def ids(word: str) -> list[int]:
+        if beyond(word):
+            return whole([word])[0]
+        return [t.id for t in merge(word.encode().decode("latin-1").translate(table))]
+
+    return ids
