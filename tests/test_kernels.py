@@ -190,6 +190,42 @@ def test_alpha_formats():
             assert gap.max() <= step * (2 if dithered else 1)
 
 
+def test_layout_of_drawn_colors():
+    """Single colours share pairs, blends keep theirs, halves share or narrow; nothing drawn changes."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        pal = rng.integers(0, 6, 24) * rng.integers(1, 5000)
+        pidx = rng.integers(0, 11, 30) | rng.choice([0, 0x4000, 0x8000, 0xC000], 30)
+        texel = np.array([sum(int(v) << 2 * k for k, v in enumerate(rng.choice(rng.integers(0, 4, 2), 16))) for _ in range(30)])
+        texel |= np.where(pidx & 0x8000, 0, 3)  # blocks without transparency are drawn in opaque modes
+        lean = blocks4.compacted(pidx, texel, pal)
+        assert len(lean) % 2 == 0 and len(lean) <= 24
+        flat = np.where(lean < 0, 0, lean)
+        shown = blocks4.decode_blocks(texel, pidx, pal, 120, 4).reshape(4, 30, 4).transpose(1, 0, 2).reshape(30, 16)
+        assert blocks4.assign(shown, flat, RED)[2].max() < 1e-6
+    one = lambda c, n: (np.array([k | 0x4000 for k in range(n)]), np.zeros(n, np.int64), np.repeat(c, 2))
+    assert blocks4.compacted(*one(np.arange(1, 5), 4)).tolist() == [1, 2, 3, 4]
+    assert blocks4.compacted(*one(np.full(4, 9), 4)).tolist() == [9, -1]
+    halfway = np.array([0xAAAAAAAA])
+    assert blocks4.compacted(np.array([0x4000]), halfway, np.array([0, 8])).tolist() == [4, 4]
+    assert len(blocks4.compacted(np.array([0x4000]), np.array([0xFFFFFFFF]), np.array([0, 8]))) == 0
+
+
+def test_shared_first_color():
+    """An opaque colour 0 of several palettes is the same in all, and the one that saves most."""
+    rng = np.random.default_rng(5)
+    tiles_of = [np.unique(palette.snap15_array(rng.integers(0, 1 << 24, 12) | 0xFF000000)) for _ in range(6)]
+    odd = palette.snap15_array(np.array([0xFF00FF10]))
+    points = [nearest.yiq_array(np.concatenate([t, odd])[:, None]) for t in tiles_of]
+    weights = [np.r_[np.ones(len(t)), 3.0] for t in tiles_of]
+    at, found = palette.merge_palettes(points, weights, 3, 4, RED, shared0=True)
+    assert len({p[0, 0] for p in found}) == 1 and all(1 <= len(p) <= 4 for p in found)
+    plain = palette.merge_palettes(points, weights, 3, 3, RED)[1]
+    loss = lambda made, of: sum((nearest.nearest_entries(p, nearest.yiq_array(made[k]), RED)[1] * w).sum() for p, w, k in zip(points, weights, of, strict=True))
+    assert loss(found, at) < loss(plain, at)
+    assert palette.merge_palettes([np.zeros((0, 1, 4))] * 2, [np.zeros(0)] * 2, 2, 4, RED, shared0=True)[1][0].tolist() == [[-16777216]]
+
+
 def test_blocks():
     px = image(16, 16, 40)
     px[:4, :2] = 0

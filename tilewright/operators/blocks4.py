@@ -223,27 +223,68 @@ def assign(blocks: np.ndarray, palette: np.ndarray, reduction: Reduction) -> tup
     return pidx, texel, error
 
 
-def used_words(pidx: np.ndarray, texel: np.ndarray, n: int) -> np.ndarray:
-    """Which palette words any block draws from, directly or as an endpoint."""
-    used = np.zeros(n + 4, bool)
-    for p, t in zip(pidx.tolist(), texel.tolist(), strict=True):
+def _narrowed(pair: tuple[int, int]) -> list[int]:
+    """Two words as near to each other as may be with the same halfway blend."""
+    ends = [((pair[0] >> s) & 31, (pair[1] >> s) & 31) for s in (0, 5, 10)]
+    near = [sum((sum(e) + up) // 2 << s for e, s in zip(ends, (0, 5, 10), strict=True)) for up in (1, 0)]
+    blends = _blend(_colors(np.array([near[0], pair[0]])), _colors(np.array([near[1], pair[1]])), 4)
+    return near if blends[0] == blends[1] else list(pair)
+
+
+def compacted(pidx: np.ndarray, texel: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """A palette in which every block finds the colours that it draws, in as few words as a greedy layout needs; -1 for words left free.
+
+    Pairs that blends are drawn from come first, once each; a pair of which only the halfway
+    blend is drawn shares any pair with that blend, else its ends move together.  Then, larger
+    sets first, the colours that blocks draw directly go where a block may see them (four words
+    from an even place, three where index 3 is transparent), with the fewest new pairs, then the
+    fewest new words.
+    """
+    padded = np.concatenate([palette, np.zeros(4, np.int64)])
+    blends, halves, plain = set(), set(), set()
+    for p, t in set(zip(pidx.tolist(), texel.tolist(), strict=True)):
         at = (p & ADDRESS) << 1
-        seen = {(t >> (2 * k)) & 3 for k in range(16)}
-        if p & INTERPOLATE:
-            if seen - ({3} if not p & OPAQUE else set()):
-                used[at : at + 2] = True
-        else:
-            for s in seen - ({3} if not p & OPAQUE else set()):
-                used[at + s] = True
-    return used[:n]
+        own = padded[at : at + 4].tolist()
+        seen = {(t >> (2 * k)) & 3 for k in range(16)} - (set() if p & OPAQUE else {3})
+        if p & INTERPOLATE and max(seen, default=0) > 1:
+            (blends if p & OPAQUE or seen != {2} else halves).add((min(own[:2]), max(own[:2])))
+        elif seen:
+            plain.add((usable(p), tuple(sorted({own[k] for k in seen}))))
+    words = [w for pair in sorted(blends) for w in pair]
+
+    def half(pairs: np.ndarray) -> np.ndarray:
+        return _blend(_colors(pairs[:, 0]), _colors(pairs[:, 1]), 4)
+
+    for pair in sorted(halves - blends):
+        if not words or half(np.array([pair]))[0] not in half(np.array(words).reshape(-1, 2)):
+            words += _narrowed(pair)
+    for room, colors in sorted(plain, key=lambda x: (-len(x[1]), x)):
+        n = len(words) // 2
+        ahead = np.array(words + [-1] * 6)
+        seen = ahead[2 * np.arange(n + 1)[:, None] + np.arange(room)]
+        missing = len(colors) - (seen[:, :, None] == np.array(colors)).any(axis=1).sum(axis=1)
+        free = (seen < 0).sum(axis=1)
+        inside = free.copy()
+        inside[n:] = 0
+        if n:
+            inside[n - 1] = (seen[n - 1, :2] < 0).sum()
+        cost = np.where(missing <= free, (np.maximum(missing - inside, 0) + 1) // 2 * 8 + missing, 1 << 30)
+        start = 2 * int(cost.argmin())
+        for w in colors:
+            if w not in ahead[start : start + room]:
+                ahead[start + int(np.flatnonzero(ahead[start : start + room] < 0)[0])] = w
+        last = max(len(words), 1 + int(np.flatnonzero(ahead >= 0).max()))
+        words = ahead[: last + last % 2].tolist()
+    return np.array(words, np.int64)
 
 
 def encode_blocks(px: np.ndarray, reduction: Reduction, limit: int, threshold: int = 0) -> tuple[bytes, bytes, np.ndarray]:
     """(texel, palette indices, palette words) of an image with sides that are multiples of 4.
 
-    Equal blocks are modelled once.  Each refinement drops pairs of words that no block draws
-    from, spends the room on own palettes of the worst blocks, and assigns all blocks anew;
-    a round that does not lower the total error ends it.
+    Equal blocks are modelled once.  Each refinement lays out anew the colours that blocks draw,
+    spends the room on own palettes of the worst blocks (single colours first in words left
+    free), and assigns all blocks anew; a round that raises the total error or changes nothing
+    ends it.
     """
     h, w = px.shape
     grid = px.reshape(h // 4, 4, w // 4, 4).transpose(0, 2, 1, 3).reshape(-1, 16)
@@ -254,19 +295,21 @@ def encode_blocks(px: np.ndarray, reduction: Reduction, limit: int, threshold: i
     palette = shared_palette(models, uses, limit, threshold, reduction)
     pidx, texel, error = assign(blocks, palette, reduction)
     for _ in range(REFINEMENTS):
-        keep = used_words(pidx, texel, len(palette)).reshape(-1, 2).any(axis=1) if len(palette) % 2 == 0 else np.ones(len(palette) // 2, bool)
-        # four-word palettes must stay together: keep both pairs of a used one
-        for p in pidx[(pidx & INTERPOLATE) == 0]:
-            keep[min(p & ADDRESS, len(keep) - 1)] = True
-            keep[min((p & ADDRESS) + 1, len(keep) - 1)] = True
-        trial = palette[: len(keep) * 2].reshape(-1, 2)[keep].ravel()
+        trial = compacted(pidx, texel, palette)
+        if len(trial) > len(palette):
+            trial = palette.copy()
         for k in np.argsort(-(error * uses), kind="stable"):
             words = models[k][1]
-            if error[k] <= 0 or len(trial) + len(words) > limit:
+            free = np.flatnonzero(trial < 0)
+            if error[k] <= 0 or (not len(free) and len(trial) + 2 > limit):
                 break
-            trial = np.concatenate([trial, words])
+            if len(free) and (words == words[0]).all():
+                trial[free[0]] = words[0]
+            elif len(trial) + len(words) <= limit:
+                trial = np.concatenate([trial, words])
         if not len(trial):
             break
+        trial = np.where(trial < 0, trial.reshape(-1, 2)[:, ::-1].ravel(), trial)
         new = assign(blocks, trial, reduction)
         if (new[2] * uses).sum() > (error * uses).sum() or (len(trial) == len(palette) and (trial == palette).all()):
             break

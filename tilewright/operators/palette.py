@@ -183,15 +183,17 @@ def image_palettes(pixels: DataFrame, n: int, reduction: Reduction = Reduction()
 # -- several palettes an image --------------------------------------------------------------
 
 
-def merge_palettes(tile_points: list[np.ndarray], tile_weights: list[np.ndarray], n_palettes: int, n: int, reduction: Reduction) -> tuple[np.ndarray, list[np.ndarray]]:
+def merge_palettes(tile_points: list[np.ndarray], tile_weights: list[np.ndarray], n_palettes: int, n: int, reduction: Reduction, shared0: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
     """(palette number of each tile, palettes): tiles' own palettes are merged, nearest first, then refined.
 
     How badly one tile's colours fare in another's palette is no symmetric measure; the pair with
     the least such loss in either direction merges (the lowest numbers among equals), and the
     merged group gets a palette of its own.  Losses are kept in a matrix of live groups, and only
-    a merged group's row and column are computed anew.
+    a merged group's row and column are computed anew.  With ``shared0`` one of the ``n`` colours,
+    the first, is the same in all palettes (see ``_share_first``).
     """
     t = len(tile_points)
+    n -= shared0
     members = {k: [k] for k in range(t)}
 
     def palette_of(tiles: list[int]) -> np.ndarray:
@@ -235,10 +237,38 @@ def merge_palettes(tile_points: list[np.ndarray], tile_weights: list[np.ndarray]
     rank = np.empty(len(found), np.int64)
     rank[order] = np.arange(len(found))
     at = np.array([[loss([i], found[k]) for k in order] for i in range(t)]).argmin(axis=1)
-    return at, [found[k] for k in order]
+    made = [found[k] for k in order]
+    return at, _share_first(tile_points, tile_weights, at, made, reduction) if shared0 else made
 
 
-def tile_palettes(tile_hist: DataFrame, n_palettes: int, n: int, reduction: Reduction = Reduction()) -> DataFrame:
+def _share_first(tile_points: list[np.ndarray], tile_weights: list[np.ndarray], at: np.ndarray, palettes: list[np.ndarray], reduction: Reduction) -> list[np.ndarray]:
+    """The palettes with one more colour before all others: that with the most error to save over all tiles.
+
+    Only error beyond that of the nearest colour that a palette can hold counts, summed by that
+    colour; the lowest of equals is taken.  The other colours then adapt by Lloyd rounds around it.
+    """
+    lost: dict[int, float] = {}
+    for points, weight, k in zip(tile_points, tile_weights, at, strict=True):
+        if not len(points):
+            continue
+        ideal = masked(points, reduction)
+        apart = differences(points, yiq_array(ideal), reduction).diagonal()
+        drawn = nearest_entries(points, yiq_array(palettes[k]), reduction)[1] if len(palettes[k]) else np.full(len(points), np.inf)
+        for c, d in zip(ideal[:, 0].tolist(), np.maximum(drawn - apart, 0) * weight, strict=True):
+            lost[c] = lost.get(c, 0.0) + float(d)
+    first = np.array([[min(lost, key=lambda c: (-lost[c], c)) if lost else 0]], np.int32) | np.int32(-16777216)
+    out = []
+    for k, own in enumerate(palettes):
+        mine = [i for i in range(len(tile_points)) if at[i] == k and len(tile_points[i])]
+        if mine and len(own):
+            points, weight = np.concatenate([tile_points[i] for i in mine]), np.concatenate([tile_weights[i] for i in mine])
+            centres = lloyd(points, weight, yiq_array(np.concatenate([first, own])), reduction, pinned=1)
+            own = sort_palette(np.unique(masked(centres[1:], reduction), axis=0), reduction)
+        out.append(np.concatenate([first, own]))
+    return out
+
+
+def tile_palettes(tile_hist: DataFrame, n_palettes: int, n: int, reduction: Reduction = Reduction(), shared0: bool = False) -> DataFrame:
     """Several palettes an image from its tiles' histograms (image_id, tile_no, rgba, weight).
 
     One row per tile and palette entry kind: kind "tile" has (tile_no, palette), kind "entry"
@@ -250,7 +280,7 @@ def tile_palettes(tile_hist: DataFrame, n_palettes: int, n: int, reduction: Redu
         rows = rows.sort_values(["tile_no", "rgba"])
         tiles = [(no, part) for no, part in rows.groupby("tile_no", sort=True)]
         points = [yiq_array(p["rgba"].to_numpy()[:, None]) for _, p in tiles]
-        at, found = merge_palettes(points, [p["weight"].to_numpy() for _, p in tiles], n_palettes, n, reduction)
+        at, found = merge_palettes(points, [p["weight"].to_numpy() for _, p in tiles], n_palettes, n, reduction, shared0)
         a = pd.DataFrame({"kind": "tile", "tile_no": [no for no, _ in tiles], "palette": at, "idx": None, "entry": None})
         b = pd.DataFrame([("entry", None, p, i, int(c)) for p, colors in enumerate(found) for i, c in enumerate(colors[:, 0])], columns=a.columns)
         out = pd.concat([a.astype(object), b.astype(object)])

@@ -138,7 +138,7 @@ def background(px: np.ndarray, o: EncodeOptions) -> dict[str, object]:
         at = np.zeros(len(tiles), np.int64)
     else:
         hists = [np.unique(t[t != 0], return_counts=True) for t in tiles]
-        at, found = merge_palettes([yiq_array(c[:, None]) for c, _ in hists], [n.astype(float) for _, n in hists], o.palettes, own, red)
+        at, found = merge_palettes([yiq_array(c[:, None]) for c, _ in hists], [n.astype(float) for _, n in hists], o.palettes, own, red, o.color0_opaque)
         made = [p[:, 0] for p in found]
     palettes = [np.concatenate([np.zeros(0 if o.color0_opaque else 1, np.int32), p]) for p in made]
     flips = o.bg_type not in ("affine", "bitmap")
