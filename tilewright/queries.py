@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -592,6 +596,138 @@ def s6(spark, folder):
     return _read_back(spark, im.select(F.concat("image_id", F.lit(".tga")).alias("name"), F.unhex(F.concat(head, body)).alias("data")), "tga")
 
 
+def _files_of(made: DataFrame, ending: str, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """One file (name, data) an image, by a function of its pixels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            data = [make(np.frombuffer(r.px, "<u4").reshape(r.height, r.width)) for r in rows.itertuples()]
+            yield pd.DataFrame({"name": rows["image_id"].astype(str) + "." + ending, "data": data})
+
+    return made.mapInPandas(run, "name string, data binary")
+
+
+def _bytes_of(px: np.ndarray, channels: int) -> np.ndarray:
+    return px[..., None].view(np.uint8)[..., :channels]
+
+
+def _png(px: np.ndarray) -> bytes:
+    """Eight bits, four channels, every row by the filter of the left neighbour."""
+    rows = _bytes_of(px, 4)
+    left = np.concatenate([np.zeros_like(rows[:, :1]), rows[:, :-1]], axis=1)
+    body = np.concatenate([np.ones((len(px), 1), np.uint8), (rows - left).reshape(len(px), -1)], axis=1)
+    chunk = lambda tag, data: struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+    head = struct.pack(">IIBBBBB", px.shape[1], px.shape[0], 8, 6, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body.tobytes())) + chunk(b"IEND", b"")
+
+
+def _psd(px: np.ndarray) -> bytes:
+    """Three raw planes."""
+    head = struct.pack(">4sH6xHIIHH", b"8BPS", 1, 3, *px.shape, 8, 3)
+    return head + bytes(14) + _bytes_of(px, 3).transpose(2, 0, 1).tobytes()
+
+
+def _pic(px: np.ndarray) -> bytes:
+    """One packet of three raw channels."""
+    head = b"\x53\x80\xf6\x34" + bytes(84) + b"PICT" + struct.pack(">HHfHH", px.shape[1], px.shape[0], 1.0, 3, 0)
+    return head + bytes([0, 8, 0, 0xE0]) + _bytes_of(px, 3).tobytes()
+
+
+def _gif(px: np.ndarray) -> bytes:
+    """Codes of eight bits throughout: the table is cleared before it would need more."""
+    table, index = np.unique(px & 0xFFFFFF, return_inverse=True)
+    index = index.astype(np.uint8).ravel()
+    codes = b"".join(b"\x80" + index[k : k + 100].tobytes() for k in range(0, len(index), 100)) + b"\x81"
+    blocks = b"".join(bytes([len(codes[k : k + 255])]) + codes[k : k + 255] for k in range(0, len(codes), 255))
+    colors = _bytes_of(table.astype("<u4"), 3).tobytes().ljust(384, b"\0")
+    size = px.shape[::-1]
+    return b"GIF89a" + struct.pack("<HHBBB", *size, 0xE6, 0, 0) + colors + b"," + struct.pack("<HHHHB", 0, 0, *size, 0) + b"\x07" + blocks + b"\0;"
+
+
+def _indexed(px: np.ndarray) -> bytes:
+    table, index = np.unique(px & 0xFFFFFF, return_inverse=True)
+    return sinks.indexed_bmp(table, index.reshape(px.shape))
+
+
+def _texture_tga(px: np.ndarray) -> bytes:
+    """The picture without the rows that pad the texture."""
+    param, texel, pidx, pal = texture.encode_image(px.view(np.int32), t.FORMATS["direct"], Reduction())
+    return sinks.nns_tga(texture.decode_image(param, texel, pidx, pal)[: px.shape[0], : px.shape[1]], t.FORMATS["direct"], texel, pidx, pal, "pal", False)
+
+
+for _name, _make, _events, _sql in (
+    ("s4_png_files", _png, True, _frame_sql(EVENTS, _OWN, "0", 64)),
+    ("s7_psd_files", _psd, True, _frame_sql(EVENTS, _SOLID, "-16777216", 64)),
+    ("s8_pic_files", _pic, True, _frame_sql(EVENTS, _SOLID, "-16777216", 64)),
+    ("s9_gif_files", _gif, False, _frame_sql(PARTS, _OWN, "-16777216", 16)),
+    ("k3_bmp_files", _indexed, False, _frame_sql(PARTS, _OWN, "-16777216", 16)),
+    ("k4_texture_tga_files", _texture_tga, False, _SHOWN),
+):
+
+    def _run(spark, folder, name=_name, make=_make, events=_events):
+        made = files.images_of((ad.event_pixels if events else ad.part_pixels)(spark, folder))
+        ending = "tga" if make is _texture_tga else "bmp" if make is _indexed else name[3:6]
+        return _read_back(spark, _files_of(made, ending, make), name)
+
+    query(_name, _sql)(_run)
+
+
+def _supplier_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen little-endian words a supplier: s_suppkey, data."""
+    byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.concat(byte(F.col("s_suppkey") % 256), byte(k))), "")
+    return ad.table(spark, folder, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.unhex(words).alias("data"))
+
+
+_WORDS = "array_to_string(list_transform(range(16), lambda k: printf('%02X%02X', s_suppkey % 256, k)), '')"
+
+
+@query("s12_raw_words", "SELECT s_suppkey::BIGINT AS s_suppkey, k::INTEGER AS i, (k * 256 + s_suppkey % 256)::BIGINT AS value FROM supplier, range(16) r(k)")
+def s12(spark, folder):
+    from .workspace import new_folder
+
+    target = new_folder(spark, "words")
+    sinks.write_files(_supplier_words(spark, folder).select(F.concat("s_suppkey", F.lit("_pal.bin")).alias("name"), "data"), target).write.format("noop").mode("overwrite").save()
+    return files.read_words(spark, target).select(F.regexp_extract("path", r"(\d+)_pal\.bin$", 1).cast("long").alias("s_suppkey"), "i", "value")
+
+
+@query("k2_c_source", "SELECT s_suppkey::BIGINT AS s_suppkey, 'const uint16_t p' || s_suppkey || '_pal[] = {' || chr(10) || '    ' || array_to_string(list_transform(range(16), lambda k: printf('0x%02X%02X,', k, s_suppkey % 256)), ' ') || chr(10) || '};' || chr(10) AS body, 'extern const uint16_t p' || s_suppkey || '_pal[16];' || chr(10) AS extern FROM supplier")
+def k2(spark, folder):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            made = [sinks.c_array(f"p{r.s_suppkey}_pal", r.data, 2) for r in rows.itertuples()]
+            yield pd.DataFrame({"s_suppkey": rows["s_suppkey"], "body": [b for b, _ in made], "extern": [e for _, e in made]})
+
+    return _supplier_words(spark, folder).mapInPandas(run, "s_suppkey bigint, body string, extern string")
+
+
+def _container(name: str, make: Callable[[bytes], bytes], parts: tuple[bytes | None, ...]) -> None:
+    """Files made of a supplier's words, against SQL that spells out all other bytes; None stands for the words."""
+
+    def run(spark, folder):
+        def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                yield pd.DataFrame({"s_suppkey": rows["s_suppkey"], "file": rows["data"].map(lambda d: make(bytes(d)).hex().upper())})
+
+        return _supplier_words(spark, folder).mapInPandas(rows_of, "s_suppkey bigint, file string")
+
+    spelt = " || ".join(_WORDS if p is None else f"'{p.hex().upper()}'" for p in parts)
+    query(name, f"SELECT s_suppkey::BIGINT AS s_suppkey, {spelt} AS file FROM supplier")(run)
+
+
+# The bytes of each format around 32 bytes of data.
+_LITTLE = b"\xff\xfe\x00\x01"
+_container("k5_palette_file", lambda d: sinks.nclr(d, 4, "text4"), (b"RLCN" + _LITTLE + struct.pack("<IHH", 72, 16, 1) + b"TTLP" + struct.pack("<5I", 56, 3, 0, 32, 16), None))
+_container("k6_character_file", lambda d: sinks.ncgr(d, 1, 1, 4), (b"RGCN" + _LITTLE + struct.pack("<IHH", 80, 16, 1) + b"RAHC" + struct.pack("<IHH5I", 64, 1, 1, 3, 16, 0, 32, 24), None))
+_container("k7_screen_file", lambda d: sinks.nscr(d, "text4", 4, 4), (b"RCSN" + _LITTLE + struct.pack("<IHH", 68, 16, 1) + b"NRCS" + struct.pack("<I4HI", 52, 32, 32, 0, 0, 32), None))
+_STORED = struct.pack("<II", 36, 32 << 8)
+_container(
+    "k10_texture_container",
+    lambda d: sinks.grf_texture(3, 8, 8, d, b"", d, False, ("none",)),
+    (b"RIFF" + struct.pack("<I", 124) + b"GRF HDRX" + struct.pack("<I5H4BHII", 24, 2, 4, 0, 0, 16, 1, 1, 0, 0, 0, 8, 8) + b"PAL " + _STORED, None, b"GFX " + _STORED, None),
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
