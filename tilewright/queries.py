@@ -15,6 +15,7 @@ from .config import EncodeOptions, Reduction
 from .functions import color as c
 from .functions import texture as t
 from .operators import codecs, dither, histogram, images, nearest, palette, texture, tiles
+from .operators.palette import snap15_array
 from .plans import adapters as ad
 from .plans import convert
 from .sources import files, sinks
@@ -728,6 +729,100 @@ _container(
 )
 
 
+# -- the same kernels on images whose colours all fit, where the result is known exactly -------
+
+
+def _few(spark: SparkSession, folder: str) -> DataFrame:
+    return ad.part_pixels(spark, folder).withColumn("rgba", c.snap15("rgba").bitwiseOR(F.lit(-16777216)))
+
+
+_FEW_ENTRIES = [int(v) for v in snap15_array(np.array([0xFFC82800, 0xFFC82864, 0xFFC828C8], np.uint32))]
+_FEW = f"(SELECT image_id, y, x, {_SNAPPED} AS rgba FROM ({PARTS}) px)"
+_FEW_FRAME = _frame_sql(f"SELECT * FROM {_FEW}", _OWN, "0", 16)
+_BLUE_RED = pack_sql(ch("rgba", 2), ch("rgba", 1), ch("rgba", 0), ch("rgba", 3))
+
+
+@query("c2_few_colors", f"SELECT image_id, 0 AS layer, (row_number() OVER (PARTITION BY image_id ORDER BY {ch('rgba', 0)}) - 1)::INTEGER AS idx, rgba AS entry FROM (SELECT DISTINCT image_id, rgba FROM {_FEW})")
+def c2_few(spark, folder):
+    return palette.palettes_of(histogram.weighted_histogram(ad.part_pixels(spark, folder)), 16)
+
+
+@query("c5_few_colors", f"WITH d AS (SELECT image_id, rgba, (row_number() OVER (PARTITION BY image_id ORDER BY {ch('rgba', 0)}) - 1)::INTEGER AS idx FROM (SELECT DISTINCT image_id, rgba FROM {_FEW})) SELECT image_id, 0 AS layer, idx, rgba AS entry FROM d UNION ALL SELECT image_id, 1, idx, {_BLUE_RED} FROM d")
+def c5_few(spark, folder):
+    px = ad.part_pixels(spark, folder)
+    both = px.unionByName(px.withColumn("layer", F.lit(1)).withColumn("rgba", c.swap_red_blue("rgba")))
+    return palette.palettes_of(histogram.layered_histogram(both), 16)
+
+
+@query("c7_tile_errors", f"SELECT image_id, (y // 8 * 2 + x // 8)::INTEGER AS tile_no, {milli('sum(' + distance_sql(yiq_sql('rgba'), yiq_sql('shown')) + ')')} AS error FROM (SELECT *, {_SNAPPED} AS shown FROM ({PARTS}) px) GROUP BY ALL")
+def c7_errors(spark, folder):
+    """Each tile against the palette it was given: what is left is what no palette can hold."""
+    px = ad.part_pixels(spark, folder).withColumn("tile_no", (F.floor(F.col("y") / 8) * 2 + F.floor(F.col("x") / 8)).cast("int"))
+    h = px.groupBy("image_id", "tile_no", "rgba").agg(F.count("*").cast("double").alias("weight"))
+    made = palette.tile_palettes(h, 2, 4).persist()
+    own = made.where("kind = 'tile'").select("image_id", "tile_no", "palette")
+    entries = made.where("kind = 'entry'").select("image_id", "palette", "entry")
+    d = h.join(own, ["image_id", "tile_no"]).join(entries, ["image_id", "palette"])
+    least = d.groupBy("image_id", "tile_no", "rgba", "weight").agg(F.min(c.distance(c.yiq("rgba"), c.yiq("entry"))).alias("d"))
+    return least.groupBy("image_id", "tile_no").agg(scaled(F.sum(F.col("weight") * F.col("d"))).alias("error"))
+
+
+@query("c8_few_colors", _FEW_FRAME)
+def c8_few(spark, folder):
+    """Diffusion has no error to spread where every colour is in the palette."""
+    px = _few(spark, folder)
+    fixed = px.select(F.col("image_id").alias("image_id")).distinct().select("image_id", F.posexplode(F.array(F.lit(0), *map(F.lit, _FEW_ENTRIES))).alias("idx", "entry"))
+    made = dither.index_images(files.images_of(px), fixed, Reduction(alpha_mode="reserve"), 0.5)
+    words = F.regexp_extract_all(F.hex("indices"), F.lit("[0-9A-F]{4}"), F.lit(0))
+    flat = made.select("image_id", "width", F.posexplode(words).alias("i", "h")).withColumn("idx", F.conv(F.substring("h", 1, 2), 16, 10).cast("int"))
+    place = flat.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.pmod("i", "width").cast("int").alias("x"), "idx")
+    return place.join(fixed, ["image_id", "idx"]).select("image_id", "y", "x", F.col("entry").alias("rgba"))
+
+
+@query("c9_few_tiles", "SELECT image_id, tile_no, tile_no AS master, 0 AS flip, row_number() OVER (PARTITION BY image_id ORDER BY tile_no) - 1 AS char_no FROM (" + ORACLES["u2_tile_dedup"] + ") WHERE tile_no = master")
+def c9_few(spark, folder):
+    d = tiles.dedup_tiles(tiles.split_tiles(ad.part_pixels(spark, folder))).where("master = tile_no")
+    return tiles.reduce_tiles(d.select("image_id", "tile_no", "px"), 16).select("image_id", "tile_no", "master", "flip", F.col("char_no").cast("long").alias("char_no"))
+
+
+@query("c13_direct_fitting", _FEW_FRAME)
+def c13_fitting(spark, folder):
+    made = texture.encode_textures(files.images_of(_few(spark, folder)), "direct", diffuse=0.5)
+    return files.pixels_of(texture.decode_textures(made)).select("image_id", "y", "x", "rgba")
+
+
+@query("c16_blocks_fitting", _FEW_FRAME)
+def c16_fitting(spark, folder):
+    """Blocks of one colour that a palette can hold, through models, shared palette and refinement."""
+    made = texture.encode_textures(files.images_of(_few(spark, folder)), "tex4x4")
+    return files.pixels_of(texture.decode_textures(made)).select("image_id", "y", "x", c.zero_transparent("rgba").alias("rgba"))
+
+
+def _redrawn(px: np.ndarray, options: EncodeOptions) -> np.ndarray:
+    """A background, grown to whole tiles, drawn again from its palettes, characters and screen."""
+    made = convert.background(np.pad(px, [(0, -n % 8) for n in px.shape]), options)
+    entry = made["screen"]
+    cells = made["chars"].reshape(-1, 8, 8)[entry & 0x3FF]
+    cells = np.where((entry >> 10 & 1)[..., None, None] == 1, cells[..., ::-1], cells)
+    cells = np.where((entry >> 11 & 1)[..., None, None] == 1, cells[..., ::-1, :], cells)
+    word = made["palette"].astype(np.int64)[(entry >> 12)[..., None, None], cells]
+    rgba = sum((((word >> 5 * k) & 31) * 510 + 31) // 62 << 8 * k for k in range(3)) | 255 << 24
+    shown = np.where(cells > 0, rgba, 0).transpose(0, 2, 1, 3)
+    return shown.reshape(shown.shape[0] * 8, -1).astype(np.uint32)[: px.shape[0], : px.shape[1]]
+
+
+@query("c10_background_pixels", _SHOWN)
+def c10_pixels(spark, folder):
+    """Backgrounds with two palettes, all characters and flips, drawn again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            shown = [_redrawn(np.frombuffer(r.px, "<i4").reshape(r.height, r.width), EncodeOptions(bg_type="text4", palettes=2, max_colors=4, max_chars=1024)) for r in rows.itertuples()]
+            yield rows.assign(px=[v.astype("<u4").tobytes() for v in shown])
+
+    return files.pixels_of(_part_images(spark, folder).mapInPandas(run, "image_id bigint, width int, height int, px binary")).select("image_id", "y", "x", "rgba")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
