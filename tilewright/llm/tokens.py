@@ -94,9 +94,9 @@ def splitter(path: str) -> Callable[[str], list[str]] | None:
     find = patterns()[kind].findall
 
     def split(text: str) -> list[str]:
-        small = text.lower()
-        if text.isascii() or not (other(text) or other(small)):
-            return find(small if kind == "word" else text)
+        shown = text.lower() if kind == "word" else text
+        if text.isascii() or not (other(text) or other(shown)):
+            return find(shown)
         out = []
         for s in stretches(text):
             if not s.isascii() and beyond(s):
