@@ -16,11 +16,11 @@ from ..functions import color
 
 
 def yiq_array(rgba: np.ndarray) -> np.ndarray:
-    """Rows of premultiplied y, i, q, a."""
+    """Rows of premultiplied y, i, q, a, to the last bit as ``color.yiq``: a matrix product may fuse or reorder its sums."""
     v = np.asarray(rgba).astype(np.int64)
-    rgb = np.stack([(v >> s) & 255 for s in (0, 8, 16)], axis=-1).astype(float)
+    r, g, b = (((v >> s) & 255).astype(float) for s in (0, 8, 16))
     a = ((v >> 24) & 255) / 255.0
-    return np.concatenate([rgb @ np.array(color.TO_YIQ).T * a[..., None], a[..., None]], axis=-1)
+    return np.stack([a * (m[0] * r + m[1] * g + m[2] * b) for m in color.TO_YIQ] + [a], axis=-1)
 
 
 def rgba_array(c: np.ndarray) -> np.ndarray:
@@ -33,9 +33,16 @@ def rgba_array(c: np.ndarray) -> np.ndarray:
 
 
 def differences(points: np.ndarray, palette: np.ndarray, reduction: Reduction) -> np.ndarray:
-    """(points, palette) matrix of distances; both have a last axis of four channels, before it perhaps layers."""
-    d = points[:, None] - palette[None]
-    out = (d[..., :3] ** 2) @ np.array(reduction.squares) + reduction.alpha_square * d[..., 3] ** 2 - d[..., 3] * (d[..., :3] @ np.array(reduction.interaction))
+    """(points, palette) matrix of distances; both have a last axis of four channels, before it perhaps layers.
+
+    Sums run in the order of ``color.distance``, so that distances agree with it to the last bit.
+    """
+    y, i, q, a = (points[:, None, ..., k] - palette[None, ..., k] for k in range(4))
+    wy, wi, wq = reduction.squares
+    xy, xi, xq = reduction.interaction
+    out = wy * y * y + wi * i * i + wq * q * q
+    if a.any():
+        out += reduction.alpha_square * a * a - a * (xy * y + xi * i + xq * q)
     return out.sum(axis=-1) if out.ndim == 3 else out
 
 
