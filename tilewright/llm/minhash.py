@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import flat, slices
@@ -73,10 +73,14 @@ def _linked(common, n1, n2, percent: int):
 
 
 def _residual(percent: int):
-    """Links between members of a block's two sides that lie in different components, one per pair of components."""
+    """Links between members of a block's two sides that share a bucket and lie in different components, one per pair of components."""
 
     def block(u: list, m: list) -> list[tuple[int, int]]:
-        sets = [x[3] for x in u] + [x[3] for x in m]
+        sets = [x[2] for x in u] + [x[2] for x in m]
+        slots = [x[1] for x in u] + [x[1] for x in m]
+        inside = np.zeros((len(sets), 1 + max(int(x.max()) for x in slots)), np.float32)
+        inside[np.repeat(np.arange(len(sets)), [len(x) for x in slots]), np.concatenate(slots)] = 1
+        share = inside[: len(u)] @ inside[len(u) :].T > 0
         names, at = np.unique(np.concatenate(sets), return_inverse=True)
         rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         common = np.zeros((len(u), len(m)), np.float32)
@@ -85,9 +89,9 @@ def _residual(percent: int):
             dense = np.zeros((len(sets), min(16384, len(names) - lo)), np.float32)
             dense[rows[hit], at[hit] - lo] = 1
             common += dense[: len(u)] @ dense[len(u) :].T
-        nu, nm = np.array([len(x[3]) for x in u]), np.array([len(x[3]) for x in m])
-        cu, cm = np.array([x[2] for x in u]), np.array([x[2] for x in m])
-        good = _linked(common.astype(np.int64), nu[:, None], nm[None, :], percent) & (cu[:, None] != cm[None, :])
+        nu, nm = np.array([len(x[2]) for x in u]), np.array([len(x[2]) for x in m])
+        cu, cm = np.array([x[0] for x in u]), np.array([x[0] for x in m])
+        good = _linked(common.astype(np.int64), nu[:, None], nm[None, :], percent) & share & (cu[:, None] != cm[None, :])
         i, j = np.nonzero(good)
         pairs = {(min(a, b), max(a, b)) for a, b in zip(cu[i].tolist(), cm[j].tolist(), strict=True)}
         return sorted(pairs)
@@ -100,14 +104,14 @@ def _residual(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns[:-1]]
-            sets = batch.column(batch.num_columns - 1)
+            cols = [c.to_numpy() for c in batch.columns[:6]]
+            slots, sets = batch.columns[6:]
             for r in range(batch.num_rows):
                 here = tuple(int(c[r]) for c in cols[:3])
                 if here != key:
                     yield from close()
                     key, sides = here, ([], [])
-                sides[int(cols[3][r])].append((0, int(cols[4][r]), int(cols[5][r]), sets[r].values.to_numpy()))
+                sides[int(cols[3][r])].append((int(cols[5][r]), slots[r].values.to_numpy(), sets[r].values.to_numpy()))
         yield from close()
 
     return run
@@ -143,8 +147,9 @@ def near_duplicates(
        into components.
     3. Buckets of all bands^2 tables that still hold several components are searched exactly:
        members outside the leader's component against all, in blocks of BLOCK by BLOCK within a
-       kernel that returns one link per pair of components.  Buckets with the same members are
-       searched once.  No partner is capped.
+       kernel that returns one link per pair of components.  The buckets of one leader, at most
+       one a table, are searched together, so that a member goes there once and not once a
+       table; only pairs that share a bucket count.  No partner is capped.
 
     Sets are hashed to 64 bits and computed from whole texts: once for signatures, and again for
     the rows that have a candidate, so the sets of all other texts are never stored or shuffled.
@@ -187,17 +192,22 @@ def near_duplicates(
     placed = members.where("c > 2").join(comps.withColumnRenamed("node", "num"), "num", "left").select("key", "num", F.coalesce("component", "num").alias("comp"))
     placed = cut(placed.join(leaders, "key"), "near-placed")
     head = placed.where("num = leader").select("key", F.col("comp").alias("lead_comp"))
-    alike = [F.bit_xor(F.xxhash64("num", F.lit(k))).alias(f"h{k}") for k in range(2)]
-    mixed = placed.join(head, "key").groupBy("key").agg(F.first("lead_comp").alias("lead_comp"), F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("lead_comp")).alias("o"), *alike).where("o > 0")
-    mixed = cut(mixed.groupBy("m", "h0", "h1").agg(F.min("key").alias("key"), F.first("lead_comp").alias("lead_comp"), F.first("o").alias("o")).drop("h0", "h1"), "near-mixed")
-    slot = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    in_mixed = placed.join(mixed, "key").withColumn("bu", slot("o")).withColumn("bm", slot("m"))
+    mixed = placed.join(head, "key").groupBy("key").agg(F.first("leader").alias("leader"), F.first("lead_comp").alias("lead_comp"), F.count_if(F.col("comp") != F.col("lead_comp")).alias("o")).where("o > 0").drop("o")
+    slot = F.row_number().over(Window.partitionBy("leader").orderBy("key")).cast("short")
+    mixed = cut(mixed.withColumn("slot", slot), "near-mixed")
+    # a leader's mixed buckets, at most one a table, are searched as one: each member once, with the buckets it is in
+    group = placed.join(mixed.drop("leader"), "key").groupBy("leader", "num").agg(F.first("comp").alias("comp"), F.first("lead_comp").alias("lead_comp"), F.collect_list("slot").alias("slots"))
+    group = cut(group, "near-group")
+    count = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sides = group.groupBy("leader").agg(F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("lead_comp")).alias("o"))
+    sides = cut(sides.select("leader", count("o").alias("bu"), count("m").alias("bm")), "near-sides")
+    group = group.join(sides, "leader")
     spread = F.xxhash64("num")
-    outside = in_mixed.where("comp <> lead_comp").withColumn("i", F.pmod(spread, F.col("bu")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bm") - 1))).withColumn("side", F.lit(0))
-    inside = in_mixed.withColumn("j", F.pmod(spread, F.col("bm")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bu") - 1))).withColumn("side", F.lit(1))
-    cols = ["key", "i", "j", "side", "num", "comp"]
+    outside = group.where("comp <> lead_comp").withColumn("i", F.pmod(spread, F.col("bu")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("bm") - 1))).withColumn("side", F.lit(0))
+    inside = group.withColumn("j", F.pmod(spread, F.col("bm")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("bu") - 1))).withColumn("side", F.lit(1))
+    cols = ["leader", "i", "j", "side", "num", "comp", "slots"]
     blocks = outside.select(*cols).union(inside.select(*cols)).join(sets, "num").select(*cols, "s")
-    blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks = blocks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
     late = cut(blocks.mapInArrow(_residual(percent), "u bigint, v bigint"), "near-late")
     joined = components(late)
 
