@@ -39,3 +39,8 @@ def test_nearest_join(spark, colors, want):
     palettes = spark.createDataFrame([(0, k, v) for k, v in enumerate(PALETTE)], "image_id long, idx int, entry int")
     got = nearest.nearest_join(pixels(spark, colors), palettes).select("rgba", "idx", "d").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_nearest_expr(spark, colors, want):
+    got = pixels(spark, colors).withColumn("s", nearest.nearest_expr("rgba", PALETTE)).select("rgba", "s.idx", "s.d").collect()
+    assert sorted(map(tuple, got)) == want
